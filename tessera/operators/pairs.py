@@ -98,6 +98,70 @@ def cluster_distance_sums(vecs: DataFrame, n: int, block_rows: int = DEFAULT_BLO
     )
 
 
+# ---------------------------------------------------------------------------
+# several labelings at once: distances computed once per block pair
+# ---------------------------------------------------------------------------
+
+MULTI_SUM_SCHEMA = "model int, row_id long, own int, other int, s double, c long"
+
+
+def _multi_dist_sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    cols = {"model": [], "row_id": [], "own": [], "other": [], "s": [], "c": []}
+    if len(left) == 0 or len(right) == 0:
+        return pd.DataFrame(cols)
+    xl, xr = _matrix(left["x"]), _matrix(right["x"])
+    lid, rid = left["row_id"].to_numpy(), right["row_id"].to_numpy()
+    labl = np.asarray(np.stack(left["labs"].to_numpy()), dtype=np.int64)  # (nl, m)
+    labr = np.asarray(np.stack(right["labs"].to_numpy()), dtype=np.int64)
+    n_models = labl.shape[1]
+    acc = [dict() for _ in range(n_models)]
+    for s, e, dist in distance_chunks(xl, xr):
+        notself = lid[s:e, None] != rid[None, :]
+        dist = np.where(notself, dist, 0.0)
+        for m in range(n_models):
+            for c in np.unique(labr[:, m]):
+                if c < 0:
+                    continue
+                mask = labr[:, m] == c
+                ss = dist[:, mask].sum(axis=1)
+                cc = notself[:, mask].sum(axis=1)
+                prev = acc[m].get(c)
+                if prev is None:
+                    prev = (np.zeros(len(left)), np.zeros(len(left), dtype=np.int64))
+                    acc[m][c] = prev
+                prev[0][s:e] += ss
+                prev[1][s:e] += cc
+    for m in range(n_models):
+        own = labl[:, m]
+        keep = own >= 0
+        for c, (ss, cc) in acc[m].items():
+            cols["model"].append(np.full(keep.sum(), m, dtype=np.int32))
+            cols["row_id"].append(lid[keep])
+            cols["own"].append(own[keep].astype(np.int32))
+            cols["other"].append(np.full(keep.sum(), c, dtype=np.int32))
+            cols["s"].append(ss[keep])
+            cols["c"].append(cc[keep])
+    if not cols["model"]:
+        return pd.DataFrame({k: [] for k in cols})
+    return pd.DataFrame({k: np.concatenate(v) for k, v in cols.items()})
+
+
+def multi_distance_sums(vecs: DataFrame, n: int, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """``(model, row_id, own, other, mean_dist)`` for every labeling in ``labs``.
+
+    ``vecs`` is ``(row_id, x, labs array<int>)``: one label per model, -1 = no cluster.
+    """
+    b = n_blocks(n, block_rows)
+    v = vecs.select("row_id", "x", "labs")
+    partial = cogroup_blocks(v, v, b).applyInPandas(_multi_dist_sums, MULTI_SUM_SCHEMA)
+    return (
+        partial.groupBy("model", "row_id", "own", "other")
+        .agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+        .where(F.col("c") > 0)
+        .select("model", "row_id", "own", "other", (F.col("s") / F.col("c")).alias("mean_dist"))
+    )
+
+
 # ---------------------------------------------------------------------------
 # k nearest neighbours (self included)
 # ---------------------------------------------------------------------------

@@ -172,6 +172,32 @@ def silhouette(vecs: DataFrame, n: int | None = None, block_rows: int = DEFAULT_
     return float(r) if r is not None else 0.0
 
 
+def silhouettes(vecs: DataFrame, n: int, block_rows: int = DEFAULT_BLOCK_ROWS) -> dict[int, float]:
+    """Exact mean silhouette of several labelings in one quadratic pass.
+
+    ``vecs`` is ``(row_id, x, labs array<int>)``; label -1 rows are left out
+    (their distances still count nowhere). Returns ``{model: silhouette}``;
+    a labeling with fewer than two clusters scores 0.0.
+    """
+    from tessera.operators.pairs import multi_distance_sums
+
+    sums = multi_distance_sums(vecs, n, block_rows)
+    per_row = sums.groupBy("model", "row_id", "own").agg(
+        F.max(F.when(F.col("other") == F.col("own"), F.col("mean_dist"))).alias("a"),
+        F.min(F.when(F.col("other") != F.col("own"), F.col("mean_dist"))).alias("b"),
+    )
+    s = (
+        F.when(F.col("a").isNull() | F.col("b").isNull(), F.lit(0.0))
+        .when(F.greatest("a", "b") == 0, F.lit(0.0))
+        .otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    )
+    # every clustered row counts, also those alone in their cluster (score 0)
+    base = vecs.select("row_id", F.posexplode("labs").alias("model", "own")).where(F.col("own") >= 0)
+    scored = base.join(per_row, ["model", "row_id", "own"], "left").select("model", "own", F.coalesce(s, F.lit(0.0)).alias("s"))
+    res = scored.groupBy("model").agg(F.avg("s").alias("sil"), F.countDistinct("own").alias("k")).collect()
+    return {r["model"]: (float(r["sil"]) if r["k"] >= 2 else 0.0) for r in res}
+
+
 def noise_stats(labels: DataFrame) -> DataFrame:
     """``noise_rate`` (share of -1) and ``n_clusters`` (max id + 1)."""
     return labels.agg(

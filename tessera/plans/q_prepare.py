@@ -22,6 +22,11 @@ def _nmiss_sql() -> str:
     return " + ".join(f"(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)" for c in FEATS)
 
 
+def ctes() -> str:
+    """SQL twin of the lineitem preprocessing; CTE ``z`` is the scaled matrix."""
+    return _ctes()
+
+
 def _ctes() -> str:
     med = ", ".join(f"median({c}) AS med_{c}" for c in FEATS)
     imp = ", ".join(f"COALESCE({c}, med_{c}) AS {c}" for c in FEATS)
@@ -43,10 +48,10 @@ def _ctes() -> str:
         f"WITH src AS ({lineitem_features_sql()}),\n"
         f"kept AS (SELECT * FROM src WHERE {_nmiss_sql()} <= {SPEC.max_missing}),\n"
         f"med AS (SELECT {med} FROM kept),\n"
-        f"imp AS (SELECT l_orderkey, l_linenumber, {imp} FROM kept CROSS JOIN med),\n"
-        f"tr AS (SELECT l_orderkey, l_linenumber, {', '.join(tr)} FROM imp),\n"
+        f"imp AS (SELECT l_orderkey, l_linenumber, l_returnflag, {imp} FROM kept CROSS JOIN med),\n"
+        f"tr AS (SELECT l_orderkey, l_linenumber, l_returnflag, {', '.join(tr)} FROM imp),\n"
         f"st AS (SELECT {st} FROM tr),\n"
-        f"z AS (SELECT l_orderkey, l_linenumber, {z} FROM tr CROSS JOIN st)\n"
+        f"z AS (SELECT l_orderkey, l_linenumber, l_returnflag, {z} FROM tr CROSS JOIN st)\n"
     )
 
 

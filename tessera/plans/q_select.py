@@ -22,12 +22,26 @@ D = 64
 POSTERIOR_K = 3
 
 
+def _bin(k: int, mn: float, mx: float):
+    return F.least(F.lit(k - 1), F.floor((F.col("x")[0] - F.lit(mn)) / F.lit(mx - mn) * F.lit(k)).cast("int"))
+
+
+def _edges(v):
+    mm = v.agg(F.min(F.col("x")[0]).alias("mn"), F.max(F.col("x")[0]).alias("mx")).first()
+    return float(mm["mn"]), float(mm["mx"])
+
+
 def bin_labels(spark, sf_dir, k: int):
     v = embedding_vectors(spark, sf_dir)
-    mm = v.agg(F.min(F.col("x")[0]).alias("mn"), F.max(F.col("x")[0]).alias("mx")).first()
-    mn, mx = float(mm["mn"]), float(mm["mx"])
-    cl = F.least(F.lit(k - 1), F.floor((F.col("x")[0] - F.lit(mn)) / F.lit(mx - mn) * F.lit(k)).cast("int"))
-    return v.withColumn("cluster", cl)
+    mn, mx = _edges(v)
+    return v.withColumn("cluster", _bin(k, mn, mx))
+
+
+def multi_bin_labels(spark, sf_dir, ks):
+    """``(row_id, x, labs)`` with one equal-width labeling per k."""
+    v = embedding_vectors(spark, sf_dir)
+    mn, mx = _edges(v)
+    return v.select("row_id", "x", F.array(*[_bin(k, mn, mx) for k in ks]).alias("labs"))
 
 
 _E = "e AS (SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"
@@ -43,13 +57,14 @@ _BASE = f"WITH {_E}, {_MM}, {_KS}, {_LAB}"
 # ---- C11: rank-sum choice over silhouette / CH curves ----------------------
 
 def _sil_ch_curves(spark, sf_dir) -> list[tuple[int, float, float]]:
+    multi = multi_bin_labels(spark, sf_dir, KS).cache()
+    n = multi.count()
+    sils = Q.silhouettes(multi, n, block_rows=256)
     out = []
-    for k in KS:
-        lab = bin_labels(spark, sf_dir, k).cache()
-        sil = Q.silhouette(lab, n=lab.count(), block_rows=256)
-        ch = Q.quality_scalars(lab, D)["ch"]
-        out.append((k, float(sil), float(ch)))
-        lab.unpersist()
+    for m, k in enumerate(KS):
+        ch = Q.quality_scalars(multi.select("row_id", "x", F.col("labs")[m].alias("cluster")), D)["ch"]
+        out.append((k, sils[m], float(ch)))
+    multi.unpersist()
     return out
 
 
