@@ -1 +1,64 @@
-"""Placeholder."""
+"""Density-clustering queries (C12a-c) over ``embeddings``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions.numeric import round6
+from tessera.operators import density as H
+from tessera.operators.pairs import knn
+from tessera.plans.catalog import embedding_vectors
+from tessera.plans.registry import register
+
+MIN_SAMPLES = 5
+KNN_M = 15
+BLOCK = 256
+
+_P = (
+    "WITH e AS (SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), "
+    "p AS (SELECT a.row_id, b.row_id AS nbr_id, list_distance(a.x, b.x) AS dist FROM e a JOIN e b ON TRUE), "
+    "r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY row_id ORDER BY dist, nbr_id) AS rn FROM p), "
+    f"core AS (SELECT row_id, dist AS core FROM r WHERE rn = {MIN_SAMPLES}) "
+)
+
+
+@register("core_distance", _P + "SELECT row_id, ROUND(core, 6) + 0.0 AS core FROM core")
+def core_distance(spark, sf_dir):
+    v = embedding_vectors(spark, sf_dir)
+    return H.core_distances(v, v.count(), MIN_SAMPLES, BLOCK).select("row_id", round6("core").alias("core"))
+
+
+@register(
+    "mutual_reachability",
+    _P + "SELECT r.row_id, r.nbr_id, ROUND(GREATEST(r.dist, ca.core, cb.core), 6) + 0.0 AS mr "
+    f"FROM r JOIN core ca ON ca.row_id = r.row_id JOIN core cb ON cb.row_id = r.nbr_id WHERE r.rn <= {KNN_M}",
+)
+def mutual_reachability(spark, sf_dir):
+    """Mutual-reachability weights of every row's kNN edges."""
+    v = embedding_vectors(spark, sf_dir)
+    n = v.count()
+    core = H.core_distances(v, n, MIN_SAMPLES, BLOCK).cache()
+    nb = knn(v, n, KNN_M, BLOCK)
+    j = nb.join(core.withColumnRenamed("core", "ca"), "row_id").join(
+        core.select(F.col("row_id").alias("nbr_id"), F.col("core").alias("cb")), "nbr_id"
+    )
+    return j.select("row_id", "nbr_id", round6(F.greatest("dist", "ca", "cb")).alias("mr"))
+
+
+def _fit(spark, sf_dir):
+    v = embedding_vectors(spark, sf_dir)
+    n = v.count()
+    mcs = max(5, n // 50)
+    return H.fit_hdbscan(v, n, mcs, None, BLOCK), n
+
+
+@register("mst_weight")
+def mst_weight(spark, sf_dir):
+    (labels, mst), n = _fit(spark, sf_dir)
+    return mst.edges.agg(F.count(F.lit(1)).alias("n_edges"), round6(F.sum("w")).alias("total_weight"))
+
+
+@register("hdbscan_fit")
+def hdbscan_fit(spark, sf_dir):
+    (labels, mst), n = _fit(spark, sf_dir)
+    return labels
