@@ -107,9 +107,44 @@ def _x_of(pdf: pd.DataFrame) -> np.ndarray:
     return np.asarray(np.stack(pdf["x"].to_numpy()), dtype=np.float64)
 
 
-def _run_scan(vecs: DataFrame, fn) -> dict[tuple[int, int], np.ndarray]:
-    """Apply a per-batch statistic function and sum its vectors per (model, comp)."""
-    out = vecs.select("x").mapInPandas(fn, STATS_SCHEMA)
+#: Collect per-partition partial statistics straight to the driver while
+#: partitions x statistic width stays below this many doubles (a single
+#: bounded round trip, like the last level of a tree aggregate); above it the
+#: partials are summed by a native aggregate on the executors first.
+DIRECT_COLLECT_DOUBLES = 4_000_000
+
+
+def _per_partition(batch_fn):
+    """Wrap a per-batch statistics function so each partition yields one summed set."""
+
+    def run(it):
+        acc: dict[tuple[int, int], np.ndarray] = {}
+        for pdf in it:
+            if len(pdf) == 0:
+                continue
+            for mid, comp, vec in batch_fn(pdf):
+                key = (mid, comp)
+                v = np.asarray(vec, dtype=np.float64)
+                acc[key] = acc[key] + v if key in acc else v
+        if acc:
+            yield pd.DataFrame(
+                {"model": [k[0] for k in acc], "comp": [k[1] for k in acc], "s": [v.tolist() for v in acc.values()]}
+            )
+
+    return run
+
+
+def _run_scan(vecs: DataFrame, batch_fn, width: int | None = None) -> dict[tuple[int, int], np.ndarray]:
+    """Sum a per-batch statistic over the whole frame, keyed by (model, comp)."""
+    out = vecs.select("x").mapInPandas(_per_partition(batch_fn), STATS_SCHEMA)
+    parts = vecs.rdd.getNumPartitions()
+    if width is not None and parts * width <= DIRECT_COLLECT_DOUBLES:
+        acc: dict[tuple[int, int], np.ndarray] = {}
+        for r in out.collect():
+            key = (r["model"], r["comp"])
+            v = np.asarray(r["s"], dtype=np.float64)
+            acc[key] = acc[key] + v if key in acc else v
+        return acc
     agg = (
         out.select("model", "comp", array_to_vector("s").alias("v"))
         .groupBy("model", "comp")
@@ -121,35 +156,35 @@ def _run_scan(vecs: DataFrame, fn) -> dict[tuple[int, int], np.ndarray]:
 def _em_stats_fn(models: dict[int, Gmm], hard_centers: dict[int, np.ndarray] | None = None):
     """E-step statistics per model: comp c -> [N_c, S1_c, S2_c]; comp -1 -> [loglik, rows]."""
 
-    def run(it):
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            x = _x_of(pdf)
-            rows = []
-            for mid, m in models.items():
-                if hard_centers is not None:
-                    c = hard_centers[mid]
-                    d2 = ((x[:, None, :] - c[None, :, :]) ** 2).sum(axis=2)
-                    resp = np.zeros((len(x), len(c)))
-                    resp[np.arange(len(x)), d2.argmin(axis=1)] = 1.0
-                    ll = np.zeros(len(x))
-                    cov_type = m
-                else:
-                    ll, resp = posteriors(m, x)
-                    cov_type = m.cov_type
-                nk = resp.sum(axis=0)
-                s1 = resp.T @ x
-                if cov_type == "diag":
-                    s2 = resp.T @ (x * x)
-                else:
-                    s2 = np.stack([(resp[:, c, None] * x).T @ x for c in range(resp.shape[1])]).reshape(resp.shape[1], -1)
-                for c in range(resp.shape[1]):
-                    rows.append((mid, c, np.concatenate([[nk[c]], s1[c], s2[c]]).tolist()))
-                rows.append((mid, -1, [float(ll.sum()), float(len(x))]))
-            yield pd.DataFrame(rows, columns=["model", "comp", "s"])
-
-    return run
+    def stats(pdf):
+        x = _x_of(pdf)
+        for mid, m in models.items():
+            if hard_centers is not None:
+                c = hard_centers[mid]
+                d2 = ((x[:, None, :] - c[None, :, :]) ** 2).sum(axis=2)
+                resp = np.zeros((len(x), len(c)))
+                resp[np.arange(len(x)), d2.argmin(axis=1)] = 1.0
+                ll = np.zeros(len(x))
+                cov_type = m
+            else:
+                ll, resp = posteriors(m, x)
+                cov_type = m.cov_type
+            nk = resp.sum(axis=0)
+            s1 = resp.T @ x
+            if cov_type == "diag":
+                s2 = resp.T @ (x * x)
+            else:
+                s2 = np.stack([(resp[:, c, None] * x).T @ x for c in range(resp.shape[1])]).reshape(resp.shape[1], -1)
+            for c in range(resp.shape[1]):
+                yield mid, c, np.concatenate([[nk[c]], s1[c], s2[c]])
+            yield mid, -1, np.array([float(ll.sum()), float(len(x))])
+
+    return stats
+
+
+def _em_width(ks: list[int], n_init: int, d: int, cov_type: str) -> int:
+    per = 1 + d + (d if cov_type == "diag" else d * d)
+    return n_init * sum(k * per + 2 for k in ks)
 
 
 def _unpack(stats, mid: int, k: int, d: int, cov_type: str):
@@ -214,31 +249,57 @@ class KMeansModel:
     inertia: float = np.inf
     n_iter: int = 0
     converged: bool = False
+    # quality of the final nearest-centre labels, from the same scan
+    label_counts: np.ndarray | None = None
+    label_means: np.ndarray | None = None
+    within: float = 0.0  # sum of squared distances to the label means
+    between: float = 0.0  # sum_k n_k |mean_k - overall mean|^2
+
+    def calinski_harabasz(self) -> float:
+        n = float(self.label_counts.sum())
+        k = int((self.label_counts > 0).sum())
+        if k < 2 or n <= k:
+            return 0.0
+        if self.within == 0:
+            return 1.0
+        return (self.between / (k - 1)) / (self.within / (n - k))
+
+
+def _label_quality(km: KMeansModel, stats, m: int, d: int) -> None:
+    cnt = np.zeros(km.k)
+    sums = np.zeros((km.k, d))
+    sq = np.zeros(km.k)
+    for j in range(km.k):
+        v = stats.get((m, j))
+        if v is not None:
+            cnt[j], sums[j], sq[j] = v[0], v[1:1 + d], v[1 + d]
+    safe = np.maximum(cnt, 1.0)
+    means = sums / safe[:, None]
+    km.label_counts, km.label_means = cnt, means
+    km.within = float(max(0.0, (sq - (sums * sums).sum(axis=1) / safe).sum()))
+    g = sums.sum(axis=0) / max(cnt.sum(), 1.0)
+    km.between = float((cnt * ((means - g) ** 2).sum(axis=1)).sum())
 
 
 def _lloyd_fn(models: dict[int, np.ndarray]):
-    """Assignment statistics: comp c -> [count, sum x]; comp -1 -> [inertia]."""
-
-    def run(it):
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            x = _x_of(pdf)
-            xx = (x * x).sum(axis=1)
-            rows = []
-            for mid, c in models.items():
-                d2 = np.maximum(xx[:, None] - 2 * x @ c.T + (c * c).sum(axis=1)[None, :], 0.0)
-                lab = d2.argmin(axis=1)
-                k = len(c)
-                cnt = np.bincount(lab, minlength=k).astype(float)
-                sums = np.zeros_like(c)
-                np.add.at(sums, lab, x)
-                for j in range(k):
-                    rows.append((mid, j, np.concatenate([[cnt[j]], sums[j]]).tolist()))
-                rows.append((mid, -1, [float(d2[np.arange(len(x)), lab].sum())]))
-            yield pd.DataFrame(rows, columns=["model", "comp", "s"])
-
-    return run
+    """Assignment statistics: comp c -> [count, sum x, sum |x|^2]; comp -1 -> [inertia]."""
+
+    def stats(pdf):
+        x = _x_of(pdf)
+        xx = (x * x).sum(axis=1)
+        for mid, c in models.items():
+            d2 = np.maximum(xx[:, None] - 2 * x @ c.T + (c * c).sum(axis=1)[None, :], 0.0)
+            lab = d2.argmin(axis=1)
+            k = len(c)
+            cnt = np.bincount(lab, minlength=k).astype(float)
+            sums = np.zeros_like(c)
+            np.add.at(sums, lab, x)
+            sq = np.bincount(lab, weights=xx, minlength=k)
+            for j in range(k):
+                yield mid, j, np.concatenate([[cnt[j]], sums[j], [sq[j]]])
+            yield mid, -1, np.array([float(d2[np.arange(len(x)), lab].sum())])
+
+    return stats
 
 
 def kmeans_sweep(
@@ -264,17 +325,18 @@ def kmeans_sweep(
             mid += 1
     done: dict[int, KMeansModel] = {}
     tol = KMEANS_TOL * feature_var_mean
+    width = n_init * sum(k * (2 + d) + 1 for k in ks)
     for it in range(max_iter):
         if not live:
             break
-        stats = _run_scan(vecs, _lloyd_fn({m: km.centers for m, km in live.items()}))
+        stats = _run_scan(vecs, _lloyd_fn({m: km.centers for m, km in live.items()}), width)
         for m in list(live):
             km = live[m]
             new = km.centers.copy()
             for j in range(km.k):
                 v = stats.get((m, j))
                 if v is not None and v[0] > 0:
-                    new[j] = v[1:] / v[0]
+                    new[j] = v[1:1 + d] / v[0]
             km.inertia = float(stats.get((m, -1), [np.inf])[0])
             shift = float(((new - km.centers) ** 2).sum())
             km.centers = new
@@ -284,10 +346,11 @@ def kmeans_sweep(
                 done[m] = live.pop(m)
     done.update(live)
     # final inertia with the final centres (one more batched scan)
-    stats = _run_scan(vecs, _lloyd_fn({m: km.centers for m, km in done.items()}))
+    stats = _run_scan(vecs, _lloyd_fn({m: km.centers for m, km in done.items()}), width)
     best: dict[int, KMeansModel] = {}
     for m, km in done.items():
         km.inertia = float(stats[(m, -1)][0])
+        _label_quality(km, stats, m, d)
         k = key[m][0]
         if k not in best or km.inertia < best[k].inertia:
             best[k] = km
@@ -342,7 +405,8 @@ def gmm_sweep(
             inits[mid] = c
             key[mid] = (k, i)
             mid += 1
-    stats = _run_scan(vecs, _em_stats_fn({m: cov_type for m in inits}, hard_centers=inits))
+    width = _em_width(ks, n_init, d, cov_type)
+    stats = _run_scan(vecs, _em_stats_fn({m: cov_type for m in inits}, hard_centers=inits), width)
     live: dict[int, Gmm] = {}
     for m, c in inits.items():
         k = key[m][0]
@@ -354,7 +418,7 @@ def gmm_sweep(
     for it in range(max_iter):
         if not live:
             break
-        stats = _run_scan(vecs, _em_stats_fn(dict(live)))
+        stats = _run_scan(vecs, _em_stats_fn(dict(live)), width)
         for m in list(live):
             g = live[m]
             nk, s1, s2, ll, rows = _unpack(stats, m, g.k, d, cov_type)
