@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import as_double, logit, sigmoid
-from tessera.session import cut_lineage, persist
+from tessera.session import cut_lineage, persist, spread
 from tessera.spec import MUSIC, FeatureSpec
 
 ROW_ID = "row_id"
@@ -330,7 +330,7 @@ def prepare_matrix(features_df: DataFrame, spec: FeatureSpec = MUSIC, *, materia
     scaler = Scaler.fit(transformed, spec.features)
     matrix = scaler.transform(transformed)
     if materialise:
-        matrix = cut_lineage(matrix)
+        matrix = cut_lineage(spread(matrix, ROW_ID))
     kept.unpersist()
     n_input = n_kept + dropped.count()
     log = TransformLog(

@@ -1,7 +1,7 @@
 """Batched model sweeps: Gaussian mixtures (EM) and K-means (Lloyd).
 
 Every (k, init) model of a sweep advances in the *same* scan: one
-``mapInPandas`` pass over the cached matrix computes, per partition and per
+``mapInArrow`` pass over the cached matrix computes, per partition and per
 model, the sufficient statistics of the E-step (or the assignment step), and
 a native ``Summarizer.sum`` aggregate adds them up (partial aggregation, so
 the shuffle is partitions x models x stats, independent of the row count).
@@ -21,11 +21,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import hash_sample
 from tessera.spec import EM_MAX_ITER, EM_REG_COVAR, EM_TOL, KMEANS_MAX_ITER, KMEANS_TOL
 
 SEED_SAMPLE_ROWS = 20_000
@@ -103,8 +105,21 @@ def m_step(nk: np.ndarray, s1: np.ndarray, s2: np.ndarray, n: float, cov_type: s
 STATS_SCHEMA = "model int, comp int, s array<double>"
 
 
-def _x_of(pdf: pd.DataFrame) -> np.ndarray:
-    return np.asarray(np.stack(pdf["x"].to_numpy()), dtype=np.float64)
+def x_of_batch(batch: pa.RecordBatch, name: str = "x") -> np.ndarray:
+    """The ``array<double>`` column of an Arrow batch as an (n, d) matrix, zero-copy."""
+    col = batch.column(batch.schema.get_field_index(name))
+    n = len(col)
+    if n == 0:
+        return np.empty((0, 0))
+    vals = col.flatten().to_numpy(zero_copy_only=False)
+    return np.asarray(vals, dtype=np.float64).reshape(n, -1)
+
+
+def list_column(m: np.ndarray) -> pa.ListArray:
+    """An (n, k) matrix as an Arrow ``list<double>`` column (one list per row)."""
+    n, k = m.shape
+    offsets = pa.array(np.arange(0, n * k + 1, k, dtype=np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(m, dtype=np.float64).ravel()))
 
 
 #: Collect per-partition partial statistics straight to the driver while
@@ -119,16 +134,20 @@ def _per_partition(batch_fn):
 
     def run(it):
         acc: dict[tuple[int, int], np.ndarray] = {}
-        for pdf in it:
-            if len(pdf) == 0:
+        for batch in it:
+            if batch.num_rows == 0:
                 continue
-            for mid, comp, vec in batch_fn(pdf):
+            for mid, comp, vec in batch_fn(x_of_batch(batch)):
                 key = (mid, comp)
                 v = np.asarray(vec, dtype=np.float64)
                 acc[key] = acc[key] + v if key in acc else v
         if acc:
-            yield pd.DataFrame(
-                {"model": [k[0] for k in acc], "comp": [k[1] for k in acc], "s": [v.tolist() for v in acc.values()]}
+            vals = list(acc.values())
+            lens = np.array([0] + [len(v) for v in vals], dtype=np.int32)
+            s = pa.ListArray.from_arrays(pa.array(np.cumsum(lens, dtype=np.int32)), pa.array(np.concatenate(vals)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in acc], pa.int32()), pa.array([k[1] for k in acc], pa.int32()), s],
+                names=["model", "comp", "s"],
             )
 
     return run
@@ -136,7 +155,7 @@ def _per_partition(batch_fn):
 
 def _run_scan(vecs: DataFrame, batch_fn, width: int | None = None) -> dict[tuple[int, int], np.ndarray]:
     """Sum a per-batch statistic over the whole frame, keyed by (model, comp)."""
-    out = vecs.select("x").mapInPandas(_per_partition(batch_fn), STATS_SCHEMA)
+    out = vecs.select("x").mapInArrow(_per_partition(batch_fn), STATS_SCHEMA)
     parts = vecs.rdd.getNumPartitions()
     if width is not None and parts * width <= DIRECT_COLLECT_DOUBLES:
         acc: dict[tuple[int, int], np.ndarray] = {}
@@ -156,8 +175,7 @@ def _run_scan(vecs: DataFrame, batch_fn, width: int | None = None) -> dict[tuple
 def _em_stats_fn(models: dict[int, Gmm], hard_centers: dict[int, np.ndarray] | None = None):
     """E-step statistics per model: comp c -> [N_c, S1_c, S2_c]; comp -1 -> [loglik, rows]."""
 
-    def stats(pdf):
-        x = _x_of(pdf)
+    def stats(x):
         for mid, m in models.items():
             if hard_centers is not None:
                 c = hard_centers[mid]
@@ -207,10 +225,14 @@ def _unpack(stats, mid: int, k: int, d: int, cov_type: str):
 # ---------------------------------------------------------------------------
 
 def seed_sample(vecs: DataFrame, n: int, seed: int, max_rows: int = SEED_SAMPLE_ROWS) -> np.ndarray:
-    """A seeded, bounded row sample used only to place initial centres."""
+    """A seeded, bounded row sample used only to place initial centres.
+
+    Rows are chosen by a hash of ``row_id`` and returned in ``row_id`` order
+    (a bounded top-k), so the seeds do not depend on the partitioning.
+    """
     frac = min(1.0, 1.2 * max_rows / max(1, n))
-    df = vecs.select("x") if frac >= 1.0 else vecs.select("x").sample(False, frac, seed)
-    rows = df.limit(max_rows).collect()
+    df = hash_sample(vecs.select("row_id", "x"), frac, seed)
+    rows = df.orderBy("row_id").limit(max_rows).select("x").collect()
     return np.array([r["x"] for r in rows], dtype=np.float64)
 
 
@@ -284,17 +306,17 @@ def _label_quality(km: KMeansModel, stats, m: int, d: int) -> None:
 def _lloyd_fn(models: dict[int, np.ndarray]):
     """Assignment statistics: comp c -> [count, sum x, sum |x|^2]; comp -1 -> [inertia]."""
 
-    def stats(pdf):
-        x = _x_of(pdf)
+    def stats(x):
         xx = (x * x).sum(axis=1)
         for mid, c in models.items():
             d2 = np.maximum(xx[:, None] - 2 * x @ c.T + (c * c).sum(axis=1)[None, :], 0.0)
             lab = d2.argmin(axis=1)
             k = len(c)
-            cnt = np.bincount(lab, minlength=k).astype(float)
-            sums = np.zeros_like(c)
-            np.add.at(sums, lab, x)
-            sq = np.bincount(lab, weights=xx, minlength=k)
+            onehot = np.zeros((len(x), k))
+            onehot[np.arange(len(x)), lab] = 1.0
+            cnt = onehot.sum(axis=0)
+            sums = onehot.T @ x
+            sq = onehot.T @ xx
             for j in range(k):
                 yield mid, j, np.concatenate([[cnt[j]], sums[j], [sq[j]]])
             yield mid, -1, np.array([float(d2[np.arange(len(x)), lab].sum())])
@@ -362,14 +384,16 @@ def kmeans_labels(vecs: DataFrame, centers: np.ndarray) -> DataFrame:
     c = np.asarray(centers)
 
     def run(it):
-        for pdf in it:
-            if len(pdf) == 0:
+        for batch in it:
+            if batch.num_rows == 0:
                 continue
-            x = _x_of(pdf)
+            x = x_of_batch(batch)
             d2 = (x * x).sum(axis=1)[:, None] - 2 * x @ c.T + (c * c).sum(axis=1)[None, :]
-            yield pd.DataFrame({"row_id": pdf["row_id"].to_numpy(), "cluster": d2.argmin(axis=1).astype(np.int32)})
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(d2.argmin(axis=1).astype(np.int32))], names=["row_id", "cluster"]
+            )
 
-    return vecs.select("row_id", "x").mapInPandas(run, "row_id long, cluster int")
+    return vecs.select("row_id", "x").mapInArrow(run, "row_id long, cluster int")
 
 
 # ---------------------------------------------------------------------------
@@ -447,18 +471,19 @@ def gmm_scores(vecs: DataFrame, models: dict[int, Gmm]) -> dict[int, tuple[float
     from tessera.spec import POSTERIOR_LOG_FLOOR
 
     def run(it):
-        for pdf in it:
-            if len(pdf) == 0:
+        for batch in it:
+            if batch.num_rows == 0:
                 continue
-            x = _x_of(pdf)
+            x = x_of_batch(batch)
             rows = []
             for mid, g in models.items():
                 ll, p = posteriors(g, x)
                 ent = float((p * np.log(np.clip(p, POSTERIOR_LOG_FLOOR, 1.0))).sum())
                 rows.append((mid, float(ll.sum()), ent))
-            yield pd.DataFrame(rows, columns=["model", "ll", "ent"])
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["model", "ll", "ent"]).astype({"model": "int32"}),
+                                             preserve_index=False)
 
-    agg = vecs.select("x").mapInPandas(run, SCORE_SCHEMA).groupBy("model").agg(
+    agg = vecs.select("x").mapInArrow(run, SCORE_SCHEMA).groupBy("model").agg(
         F.sum("ll").alias("ll"), F.sum("ent").alias("ent")
     )
     return {r["model"]: (r["ll"], r["ent"]) for r in agg.collect()}
@@ -468,17 +493,16 @@ def gmm_assign(vecs: DataFrame, g: Gmm) -> DataFrame:
     """``(row_id, cluster, posterior array<double>)``; label = argmax, first on ties."""
 
     def run(it):
-        for pdf in it:
-            if len(pdf) == 0:
+        for batch in it:
+            if batch.num_rows == 0:
                 continue
-            _, p = posteriors(g, _x_of(pdf))
-            yield pd.DataFrame({
-                "row_id": pdf["row_id"].to_numpy(),
-                "cluster": p.argmax(axis=1).astype(np.int32),
-                "posterior": list(p),
-            })
-
-    return vecs.select("row_id", "x").mapInPandas(run, "row_id long, cluster int, posterior array<double>")
+            _, p = posteriors(g, x_of_batch(batch))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(p.argmax(axis=1).astype(np.int32)), list_column(p)],
+                names=["row_id", "cluster", "posterior"],
+            )
+
+    return vecs.select("row_id", "x").mapInArrow(run, "row_id long, cluster int, posterior array<double>")
 
 
 def bic(total_ll: float, n_params: int, n: int) -> float:

@@ -79,6 +79,35 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, key: str | None = None, per_core: int = 2) -> DataFrame:
+    """Give an iteratively scanned frame at least ``per_core`` partitions per core.
+
+    A small input (a few file splits) otherwise leaves most cores idle in every
+    scan of an iterative fit; at cluster scale the frame already has far more
+    partitions than cores and this is a no-op. Hash-partitioning on ``key``
+    keeps a recomputed partition identical to the lost one.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism * per_core
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)
+
+
+def hash_sample(df: DataFrame, fraction: float, seed: int, key: str = "row_id") -> DataFrame:
+    """Seeded Bernoulli sample decided by a hash of ``key``.
+
+    Unlike ``DataFrame.sample`` the kept rows do not depend on how the frame
+    is partitioned, so a fit is reproducible on any cluster layout and a
+    retried task keeps exactly the same rows.
+    """
+    if fraction >= 1.0:
+        return df
+    from pyspark.sql import functions as F
+
+    scale = 1 << 30
+    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(scale)) < F.lit(int(fraction * scale)))
+
+
 def persist(df: DataFrame) -> DataFrame:
     """Cache a frame that several jobs scan; spills to disk instead of failing."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
