@@ -105,63 +105,123 @@ def cluster_distance_sums(vecs: DataFrame, n: int, block_rows: int = DEFAULT_BLO
 # several labelings at once: distances computed once per block pair
 # ---------------------------------------------------------------------------
 
-MULTI_SUM_SCHEMA = "model int, row_id long, own int, other int, s double, c long"
+#: Block size for the silhouette pass. Larger blocks mean fewer row copies
+#: (each row is sent to ``B`` block pairs) and fewer partial rows; a task
+#: still holds only two blocks, i.e. ``2 x block_rows x d`` doubles.
+SILHOUETTE_BLOCK_ROWS = 32_768
 
 
-def _multi_dist_sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    cols = {"model": [], "row_id": [], "own": [], "other": [], "s": [], "c": []}
-    if len(left) == 0 or len(right) == 0:
-        return pd.DataFrame(cols)
-    xl, xr = _matrix(left["x"]), _matrix(right["x"])
-    lid, rid = left["row_id"].to_numpy(), right["row_id"].to_numpy()
-    labl = np.asarray(np.stack(left["labs"].to_numpy()), dtype=np.int64)  # (nl, m)
-    labr = np.asarray(np.stack(right["labs"].to_numpy()), dtype=np.int64)
-    n_models = labl.shape[1]
-    acc = [dict() for _ in range(n_models)]
-    for s, e, dist in distance_chunks(xl, xr):
-        notself = lid[s:e, None] != rid[None, :]
-        dist = np.where(notself, dist, 0.0)
-        for m in range(n_models):
-            for c in np.unique(labr[:, m]):
-                if c < 0:
-                    continue
-                mask = labr[:, m] == c
-                ss = dist[:, mask].sum(axis=1)
-                cc = notself[:, mask].sum(axis=1)
-                prev = acc[m].get(c)
-                if prev is None:
-                    prev = (np.zeros(len(left)), np.zeros(len(left), dtype=np.int64))
-                    acc[m][c] = prev
-                prev[0][s:e] += ss
-                prev[1][s:e] += cc
-    for m in range(n_models):
-        own = labl[:, m]
-        keep = own >= 0
-        for c, (ss, cc) in acc[m].items():
-            cols["model"].append(np.full(keep.sum(), m, dtype=np.int32))
-            cols["row_id"].append(lid[keep])
-            cols["own"].append(own[keep].astype(np.int32))
-            cols["other"].append(np.full(keep.sum(), c, dtype=np.int32))
-            cols["s"].append(ss[keep])
-            cols["c"].append(cc[keep])
-    if not cols["model"]:
-        return pd.DataFrame({k: [] for k in cols})
-    return pd.DataFrame({k: np.concatenate(v) for k, v in cols.items()})
-
-
-def multi_distance_sums(vecs: DataFrame, n: int, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """``(model, row_id, own, other, mean_dist)`` for every labeling in ``labs``.
-
-    ``vecs`` is ``(row_id, x, labs array<int>)``: one label per model, -1 = no cluster.
+def silhouette_blocks(n: int, d: int, parallelism: int, block_rows: int | None = None) -> int:
+    """Blocks for the silhouette pass: enough for ~4 block pairs per core, and
+    blocks no larger than ``block_rows`` rows (or 32 MB of vectors)."""
+    cap = block_rows or max(1024, min(SILHOUETTE_BLOCK_ROWS, (32 << 20) // (8 * max(1, d))))
+    by_size = n_blocks(n, cap)
+    by_cores = math.ceil(math.sqrt(8 * max(1, parallelism)))  # ~4 upper block pairs per core
+    return max(1, min(max(by_size, by_cores), max(1, n)))
+
+
+def _distances(xl: np.ndarray, xr: np.ndarray, budget: int = 262_144):
+    """Yield ``(start, stop, D)``: Euclidean distances, left rows in cache-sized chunks.
+
+    Gram form on block-centred data (small norms keep the cancellation error
+    near machine precision), clipped at 0 before the square root: about five
+    passes over each chunk, against ``3 d`` for summed squared differences.
+    """
+    nr = xr.shape[0]
+    step = max(1, budget // max(1, nr))
+    centre = xr.mean(axis=0)
+    xl, xr = xl - centre, xr - centre
+    rn = np.einsum("ij,ij->i", xr, xr)
+    xrt = np.ascontiguousarray(xr.T)
+    for s in range(0, len(xl), step):
+        a = xl[s:s + step]
+        d2 = a @ xrt
+        d2 *= -2.0
+        d2 += rn[None, :]
+        d2 += np.einsum("ij,ij->i", a, a)[:, None]
+        np.maximum(d2, 0.0, out=d2)
+        yield s, s + len(a), np.sqrt(d2, out=d2)
+
+
+def _one_hot(labels: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
+    """(rows, width) 0/1 matrix: column offsets[m] + label of model m; -1 -> none."""
+    h = np.zeros((labels.shape[0], width))
+    rows = np.arange(labels.shape[0])
+    for m in range(labels.shape[1]):
+        lab = labels[:, m]
+        ok = lab >= 0
+        h[rows[ok], offsets[m] + lab[ok]] = 1.0
+    return h
+
+
+def _multi_sums_fn(ks: list[int]):
+    """Per block pair (lb <= rb): distance sums and partner counts per (model,
+    cluster), for the left rows over the right block and -- off the diagonal --
+    for the right rows over the left block, as two fixed-width arrays."""
+    offsets = np.concatenate([[0], np.cumsum(ks)[:-1]]).astype(np.int64)
+    width = int(sum(ks))
+
+    def frame(ids, labs, sums, counts):
+        return pd.DataFrame({"row_id": ids, "labs": list(labs.astype(np.int32)), "s": list(sums), "c": list(counts)})
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if len(left) == 0 or len(right) == 0:
+            return pd.DataFrame({"row_id": [], "labs": [], "s": [], "c": []})
+        left = left.sort_values("row_id", kind="stable")
+        right = right.sort_values("row_id", kind="stable")
+        lid, rid = left["row_id"].to_numpy(), right["row_id"].to_numpy()
+        same = len(lid) == len(rid) and bool((lid == rid).all())  # a diagonal block pair
+        xl, xr = _matrix(left["x"]), _matrix(right["x"])
+        labl = np.asarray(np.stack(left["labs"].to_numpy()), dtype=np.int64)
+        labr = np.asarray(np.stack(right["labs"].to_numpy()), dtype=np.int64)
+        hl, hr = _one_hot(labl, offsets, width), _one_hot(labr, offsets, width)
+        sums_l = np.empty((len(lid), width))
+        sums_r = np.zeros((len(rid), width))
+        for s, e, dist in _distances(xl, xr):
+            if same:  # a row's distance to itself is exactly 0
+                idx = np.arange(s, e)
+                dist[idx - s, idx] = 0.0
+            sums_l[s:e] = dist @ hr
+            if not same:
+                sums_r += dist.T @ hl[s:e]
+        counts_l = np.broadcast_to(hr.sum(axis=0), sums_l.shape).copy()
+        if same:
+            counts_l -= hl  # the row itself is not its own partner
+            return frame(lid, labl, sums_l, counts_l)
+        counts_r = np.broadcast_to(hl.sum(axis=0), sums_r.shape)
+        return pd.concat([frame(lid, labl, sums_l, counts_l), frame(rid, labr, sums_r, counts_r)], ignore_index=True)
+
+    return run
+
+
+def cogroup_upper_blocks(v: DataFrame, b: int, key: str = "row_id"):
+    """Pair block ``lb`` with every block ``rb >= lb`` (half of the block pairs)."""
+    left = v.select(*[F.col(c).alias(c) for c in v.columns])
+    right = v.select(*[F.col(c).alias(c) for c in v.columns])
+    lf = left.withColumn("lb", _block_of(key, b)).withColumn("rb", F.explode(F.sequence(F.col("lb"), F.lit(b - 1))))
+    rt = right.withColumn("rb", _block_of(key, b)).withColumn("lb", F.explode(F.sequence(F.lit(0), F.col("rb"))))
+    return lf.groupBy("lb", "rb").cogroup(rt.groupBy("lb", "rb"))
+
+
+def multi_distance_sums(vecs: DataFrame, n: int, ks: list[int], blocks: int) -> DataFrame:
+    """``(row_id, labs, s, c)``: per row, the sum of distances to and the number
+    of other rows in every (model, cluster), models concatenated in ``ks`` order.
+
+    ``vecs`` is ``(row_id, x, labs array<int>)`` with labels ``0..k_m-1`` or -1.
+    Each block pair emits one partial row per left row; the partials are
+    summed per row with a map-side-combined aggregate.
     """
-    b = n_blocks(n, block_rows)
     v = vecs.select("row_id", "x", "labs")
-    partial = cogroup_blocks(v, v, b).applyInPandas(_multi_dist_sums, MULTI_SUM_SCHEMA)
-    return (
-        partial.groupBy("model", "row_id", "own", "other")
-        .agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
-        .where(F.col("c") > 0)
-        .select("model", "row_id", "own", "other", (F.col("s") / F.col("c")).alias("mean_dist"))
+    width = int(sum(ks))
+    # distances are symmetric: only block pairs lb <= rb are computed, and
+    # an off-diagonal pair reports sums for the rows of both blocks
+    partial = cogroup_upper_blocks(v, blocks).applyInPandas(
+        _multi_sums_fn(ks), "row_id long, labs array<int>, s array<double>, c array<double>"
+    )
+    return partial.groupBy("row_id").agg(
+        F.first("labs").alias("labs"),
+        F.array(*[F.sum(F.col("s")[j]) for j in range(width)]).alias("s"),
+        F.array(*[F.sum(F.col("c")[j]) for j in range(width)]).alias("c"),
     )
 
 

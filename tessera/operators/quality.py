@@ -172,30 +172,48 @@ def silhouette(vecs: DataFrame, n: int | None = None, block_rows: int = DEFAULT_
     return float(r) if r is not None else 0.0
 
 
-def silhouettes(vecs: DataFrame, n: int, block_rows: int = DEFAULT_BLOCK_ROWS) -> dict[int, float]:
+def silhouettes(vecs: DataFrame, n: int, block_rows: int | None = None) -> dict[int, float]:
     """Exact mean silhouette of several labelings in one quadratic pass.
 
     ``vecs`` is ``(row_id, x, labs array<int>)``; label -1 rows are left out
-    (their distances still count nowhere). Returns ``{model: silhouette}``;
-    a labeling with fewer than two clusters scores 0.0.
+    (they are nobody's partner). Returns ``{model: silhouette}``; a labeling
+    with fewer than two clusters scores 0.0. Distances are computed once per
+    block pair for all labelings; no pair and no sample is ever materialised.
     """
-    from tessera.operators.pairs import multi_distance_sums
-
-    sums = multi_distance_sums(vecs, n, block_rows)
-    per_row = sums.groupBy("model", "row_id", "own").agg(
-        F.max(F.when(F.col("other") == F.col("own"), F.col("mean_dist"))).alias("a"),
-        F.min(F.when(F.col("other") != F.col("own"), F.col("mean_dist"))).alias("b"),
-    )
-    s = (
-        F.when(F.col("a").isNull() | F.col("b").isNull(), F.lit(0.0))
-        .when(F.greatest("a", "b") == 0, F.lit(0.0))
-        .otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    )
-    # every clustered row counts, also those alone in their cluster (score 0)
-    base = vecs.select("row_id", F.posexplode("labs").alias("model", "own")).where(F.col("own") >= 0)
-    scored = base.join(per_row, ["model", "row_id", "own"], "left").select("model", "own", F.coalesce(s, F.lit(0.0)).alias("s"))
-    res = scored.groupBy("model").agg(F.avg("s").alias("sil"), F.countDistinct("own").alias("k")).collect()
-    return {r["model"]: (float(r["sil"]) if r["k"] >= 2 else 0.0) for r in res}
+    from tessera.operators.pairs import multi_distance_sums, silhouette_blocks
+
+    first = vecs.select(F.size("labs").alias("m"), F.size("x").alias("d")).first()
+    if first is None:
+        return {}
+    n_models, d = int(first["m"]), int(first["d"])
+    mx = vecs.select(*[F.max(F.col("labs")[m]).alias(f"k{m}") for m in range(n_models)]).first()
+    ks = [max(1, int(mx[f"k{m}"]) + 1 if mx[f"k{m}"] is not None else 1) for m in range(n_models)]
+    blocks = silhouette_blocks(n, d, vecs.sparkSession.sparkContext.defaultParallelism, block_rows)
+    sums = multi_distance_sums(vecs, n, ks, blocks)
+    aggs = []
+    off = 0
+    for m, k in enumerate(ks):
+        own = F.col("labs")[m]
+        mean = F.zip_with(
+            F.slice("s", off + 1, k), F.slice("c", off + 1, k),
+            lambda a, b: F.when(b > 0, a / b),
+        )
+        a = F.element_at(mean, own + 1)
+        b = F.array_min(F.filter(
+            F.transform(mean, lambda v, i: F.when(i != own, v)), lambda v: v.isNotNull()
+        ))
+        sil = (
+            F.when(a.isNull() | b.isNull(), F.lit(0.0))
+            .when(F.greatest(a, b) == 0, F.lit(0.0))
+            .otherwise((b - a) / F.greatest(a, b))
+        )
+        aggs += [
+            F.avg(F.when(own >= 0, sil)).alias(f"sil{m}"),
+            F.count_distinct(F.when(own >= 0, own)).alias(f"k{m}"),
+        ]
+        off += k
+    r = sums.agg(*aggs).first()
+    return {m: (float(r[f"sil{m}"]) if r[f"k{m}"] >= 2 and r[f"sil{m}"] is not None else 0.0) for m in range(n_models)}
 
 
 def noise_stats(labels: DataFrame) -> DataFrame:

@@ -20,6 +20,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None)
         ensure_checkpoint_dir(active)
         return active
     master = master or os.environ.get("TESSERA_MASTER", "local[8]")
+    # local Python workers inherit this process's environment: one BLAS
+    # thread per task, since every core already runs its own task
+    for var in ("OPENBLAS_NUM_THREADS", "OMP_NUM_THREADS", "MKL_NUM_THREADS"):
+        os.environ.setdefault(var, "1")
     parts = shuffle_partitions or int(os.environ.get("TESSERA_SHUFFLE_PARTITIONS", "8"))
     spark = (
         SparkSession.builder.master(master)
