@@ -47,3 +47,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     p = plan(table(spark, sf_dir, "documents"))
     return p.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "shards")
+
+
+@query("op9_simhash_near_dedup")
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.simhash import groups
+
+    return groups(table(spark, sf_dir, "documents"))
+
+
+@query("op6_byte_bpe")
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.bpe import encode_digests
+
+    return encode_digests(table(spark, sf_dir, "documents"))
