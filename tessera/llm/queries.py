@@ -61,3 +61,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.bpe import encode_digests
 
     return encode_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.lang_id import predictions
+
+    return predictions(table(spark, sf_dir, "documents"))
