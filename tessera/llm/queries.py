@@ -68,3 +68,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.lang_id import predictions
 
     return predictions(table(spark, sf_dir, "documents"))
+
+
+@query("op8_secret_scan")
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.secret_scan import report
+
+    return report(table(spark, sf_dir, "documents"))
