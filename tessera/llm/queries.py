@@ -75,3 +75,17 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.secret_scan import report
 
     return report(table(spark, sf_dir, "documents"))
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.toxicity import scores
+
+    return scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_embedding_near_dedup")
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.hnsw import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
