@@ -96,3 +96,45 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.suffix_index import report
 
     return report(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op3_line_dedup",
+    """
+    WITH RECURSIVE lines AS (
+      SELECT doc_id, (unnest(range(len(p))))::INTEGER AS line_no, unnest(p) AS line
+      FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)
+    ),
+    places AS (SELECT * FROM lines WHERE trim(line, ' ') <> ''),
+    distinct_lines AS MATERIALIZED (
+      SELECT line, count(*) AS n_copies, min({'d': doc_id, 'l': line_no}) AS first,
+             row_number() OVER (ORDER BY min({'d': doc_id, 'l': line_no})) AS id
+      FROM places GROUP BY line
+    ),
+    pairs AS MATERIALIZED (
+      SELECT a.id AS a, b.id AS b
+      FROM distinct_lines a JOIN distinct_lines b
+        ON length(b.line) BETWEEN length(a.line) - 2 AND length(a.line) + 2 AND a.id < b.id
+      WHERE length(a.line) >= 24 AND length(b.line) >= 24
+        AND levenshtein(a.line, b.line) <= 2
+    ),
+    links AS MATERIALIZED (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+    reach AS (
+      SELECT a AS id, a AS seen FROM links
+      UNION
+      SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.seen
+    ),
+    comp AS (SELECT id, min(seen) AS root FROM reach GROUP BY id),
+    degree AS (SELECT a AS id, count(*) AS n_links FROM links GROUP BY a)
+    SELECT p.doc_id, p.line_no, d.n_copies, coalesce(g.n_links, 0) AS n_links,
+           r.first.d AS first_doc_id, r.first.l AS first_line_no,
+           p.doc_id = r.first.d AND p.line_no = r.first.l AS kept
+    FROM places p JOIN distinct_lines d ON p.line = d.line
+    LEFT JOIN comp ON comp.id = d.id LEFT JOIN degree g ON g.id = d.id
+    JOIN distinct_lines r ON r.id = coalesce(comp.root, d.id)
+    """,
+)
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.line_dedup import classes
+
+    return classes(table(spark, sf_dir, "documents"))
