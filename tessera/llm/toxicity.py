@@ -38,6 +38,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -210,13 +211,22 @@ def pick_landmarks(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, c
     return list(dict.fromkeys([best[i] for i in chosen] + [common[i] for i in sorted(some.tolist())]))
 
 
+def signature(words: list[str]) -> tuple[int, ...]:
+    """Three least hashes of the longer words: equal for copies, and mostly for near copies."""
+    return tuple(sorted(zlib.crc32(w.encode()) for w in words if len(w) >= 7)[:3])
+
+
 def train(bags: list[tuple[int, list[str]]], features) -> Machine | None:
     """bags: (label, distinct words) of the sample documents. ``features(words, landmarks)`` gives their kernel."""
     n = Counter(y for y, _ in bags)
     if not n[0] or not n[1]:
         return None
     rng = np.random.default_rng(SEED)
-    df = {y: Counter(itertools.chain.from_iterable(ws for label, ws in bags if label == y)) for y in (0, 1)}
+    # near copies of a document speak once: only the first of those with equal signature counts
+    told = {(y, signature(ws)): ws for y, ws in reversed(bags)}
+    df = {y: Counter(itertools.chain.from_iterable(ws for (label, _), ws in told.items() if label == y)) for y in (0, 1)}
+    for y, ws in bags:
+        df[y].update({w: 0 for w in ws})
     if not df[1] or not df[0]:
         return None
     marks = pick_landmarks(df[1], df[0], n[1], n[0], LANDMARKS, rng)
@@ -230,23 +240,23 @@ def train(bags: list[tuple[int, list[str]]], features) -> Machine | None:
     clean_rows = np.flatnonzero(~only)
     negatives = rng.choice(clean_rows, min(4000, len(clean_rows)), replace=False)
     # first choice: words that only toxic documents have, weighted by how many of them do
-    support = np.array([df[1][w] for w in words], float)
-    found = np.flatnonzero(only & (support >= max(1.0, np.quantile(support[only], 0.98) if only.any() else 1.0)))
+    support = np.maximum(np.array([df[1][w] for w in words], float), 1.0)
+    found = np.flatnonzero(only & (support >= (np.quantile(support[only], 0.98) if only.any() else 1.0)))
     w = np.zeros(phi.shape[1] + 1)
     for step in range(ROUNDS):
         if not len(found):
             return None
         plain = [words[i] for i in found]
-        wider = [stretched(x, rng) for x in plain for _ in range(2) if len(x) >= ORDER]
+        wider = [stretched(x, rng) for x in plain for _ in range(4)]
         wider = [x[:SPAN] for x in wider]
         x = np.vstack([phi[found], kernel(wider, marks) @ root, phi[negatives]])
         y = np.concatenate([np.ones(len(found) + len(wider)), -np.ones(len(negatives))])
-        heavy = np.concatenate([np.sqrt(support[found]), np.ones(len(wider)) * 0.3, np.ones(len(negatives))])
+        heavy = np.concatenate([np.sqrt(support[found]), np.repeat(np.sqrt(support[found]) / 4, 4), np.ones(len(negatives))])
         w = solve(x, y, heavy * 4.0)
         f = phi @ w[:-1] + w[-1]
         # again: the worst word of each toxic document, and the clean words nearest the margin
         worst = np.unique([b[f[b].argmax()] for b in toxic_bags])
-        sure = np.flatnonzero(only & (f > 0.5))
+        sure = np.flatnonzero(only & (f > 0.5) & (support > 1))
         found = np.union1d(worst[only[worst]], sure)
         hard = clean_rows[np.argsort(-f[clean_rows])[:2000]]
         negatives = np.union1d(negatives, hard)
