@@ -25,6 +25,11 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """``docs`` with each row as one struct ``_row`` beside ``keys``, so that no column of theirs can clash."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), *[v.alias(k) for k, v in keys.items()])
+
+
 def dense_names(rows: DataFrame, cols: list[str], bucket: Column, name: str) -> DataFrame:
     """Number distinct ``rows`` 1..n in the order of (bucket, cols).
 

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, dense_names, text_or_empty
+from tessera.llm.common import ascii_lower, dense_names, packed, text_or_empty
 from tessera.session import cut_lineage
 
 BLOCK_BYTES = 16_384
@@ -91,11 +91,11 @@ def groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 def dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns as they were."""
-    kept = groups(docs, block_bytes).where("kept").select(F.col("doc_id").alias("_k"), F.col("text_sha256").alias("_s"))
-    kept = cut_lineage(kept.groupBy("_k", "_s").agg(F.count(F.lit(1)).alias("_c")))
-    sha = F.sha2(ascii_lower(text_or_empty()).cast("binary"), 256)
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_k"]) & (sha == kept["_s"])).drop("_k", "_s")
-    if kept.where("_c > 1").isEmpty():
-        return out.drop("_c")
-    again = out.where("_c > 1").drop("_c").withColumn("_s", sha).dropDuplicates(["doc_id", "_s"]).drop("_s")
-    return out.where("_c = 1").drop("_c").unionByName(again)
+    kept = groups(docs, block_bytes).where("kept").groupBy(F.col("doc_id").alias("k"), F.col("text_sha256").alias("s")).agg(F.count(F.lit(1)).alias("c"))
+    kept = cut_lineage(kept)
+    rows = packed(docs, i=docs["doc_id"], h=F.sha2(ascii_lower(text_or_empty()).cast("binary"), 256))
+    out = rows.join(kept, rows["i"].eqNullSafe(kept["k"]) & (rows["h"] == kept["s"]))
+    if kept.where("c > 1").isEmpty():
+        return out.select("_row.*")
+    once = out.where("c > 1").dropDuplicates(["i", "h"])
+    return out.where("c = 1").select("_row.*").unionByName(once.select("_row.*"))

@@ -42,6 +42,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import packed
+
 ORDER = 5
 TRAIN_DOCS = 2_000
 #: Share of the way to a foreign language's entropy at which texts are rejected.
@@ -346,5 +348,4 @@ def keep_recognised(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """``docs`` without the rows whose language is rejected."""
     models = fit(docs.where(~held_out() & F.col("doc_id").isNotNull()), train_docs)
     p = predictor(docs.sparkSession, models)
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), p(F.col("text").cast("string")).alias("_p"))
-    return packed.where("NOT _p.rejected").select("_row.*")
+    return packed(docs, told=p(F.col("text").cast("string"))).where("NOT told.rejected").select("_row.*")

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_or_empty
+from tessera.llm.common import packed, text_or_empty
 from tessera.session import cut_lineage
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -145,7 +145,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     Rows are dealt to shards and shuffled inside each by a seeded hash.
     """
     seed = options.get("seed", SEED)
-    packed = docs.select("doc_id", "text", "source", F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
-    drawn = plan(packed, extra=("_row",), **options).select("_row", F.posexplode("shards").alias("_copy", "_shard"))
+    rows = packed(docs, doc_id=docs["doc_id"], text=docs["text"], source=docs["source"])
+    drawn = plan(rows, extra=("_row",), **options).select("_row", F.posexplode("shards").alias("_copy", "_shard"))
     drawn = drawn.withColumn("_order", F.xxhash64(F.col("_row.doc_id"), F.col("_copy"), F.lit(seed + 2)))
     return drawn.repartition("_shard").sortWithinPartitions("_shard", "_order").select("_row.*")

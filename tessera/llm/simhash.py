@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components
+from tessera.llm.common import components, packed
 from tessera.session import cut_lineage
 
 SHINGLE = 4
@@ -227,12 +227,12 @@ def dedup(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) ->
 
     Rows without a doc_id stay (nothing tells which document they are).
     """
-    ids = groups(docs, shingle, max_bits).where("doc_id = component_id").groupBy(F.col("doc_id").alias("_k")).agg(F.count(F.lit(1)).alias("_c"))
+    ids = groups(docs, shingle, max_bits).where("doc_id = component_id").groupBy(F.col("doc_id").alias("k")).agg(F.count(F.lit(1)).alias("c"))
     ids = cut_lineage(ids)
-    out = docs.join(ids, docs["doc_id"] == ids["_k"]).drop("_k")
+    rows = packed(docs, i=docs["doc_id"])
+    out = rows.join(ids, rows["i"] == ids["k"])
     bare = docs.where("doc_id IS NULL")
-    again = out.where("_c > 1").drop("_c")
-    out = out.where("_c = 1").drop("_c").unionByName(bare)
-    if ids.where("_c > 1").isEmpty():
-        return out
-    return out.unionByName(again.dropDuplicates(["doc_id"]))
+    if ids.where("c > 1").isEmpty():
+        return out.select("_row.*").unionByName(bare)
+    once = out.where("c > 1").dropDuplicates(["i"])
+    return out.where("c = 1").select("_row.*").unionByName(once.select("_row.*")).unionByName(bare)
