@@ -1,21 +1,22 @@
 """Byte-level BPE encoding and decoding.
 
 The merges run in Spark: for each distinct word a higher-order ``aggregate``
-folds the merge of least rank (leftmost of equals) over the word's array of byte
-pieces until none is left, with the ranks in a literal map. The map is a literal
-pair of arrays that form a perfect hash of the tokens, since a lookup in Spark's
-own map type walks through all its entries; a hit counts only if the bytes of
-the token are equal. Decoding concatenates the binary pieces of the ids.
+folds the merge of least rank (leftmost of equals) over the word's array of bytes
+until none is left. The ranks are a literal map from pairs of pieces to the rank,
+which is also the id, of the joined piece; it is laid out as a perfect hash in two
+literal arrays, since a lookup in Spark's own map type walks through its
+entries. Decoding concatenates the binary pieces of the ids.
 
 Texts are cut into words by the tokenizer's pattern in Arrow batches, and a row
-holds a block of documents with the distinct words they need, so that words are
-folded in place: nothing is shuffled. Words that are frequent in a bounded sample
-of documents (``SAMPLE_DOCS``, ``CACHED_WORDS``) are folded once beforehand and
-handed to all tasks; this only saves work, all other words are folded where they
-occur and results do not depend on the sample.
+holds a block of documents as ids, with placeholders for words that still have to
+be folded, and the distinct ones of these, so that words are folded in place:
+nothing is shuffled. Words that are frequent in a bounded sample of documents
+(``SAMPLE_DOCS``, ``CACHED_WORDS``) are folded once beforehand and handed to all
+tasks; this only saves work, all other words are folded where they occur and
+results do not depend on the sample.
 
 The fold of a word takes time in the square of its length; words of more than
-``FOLD_BYTES`` bytes (runs of thousands of letters) are merged in the task by a
+``FOLD_BYTES`` bytes (runs of hundreds of letters) are merged in the task by a
 heap with the same ranks and the same result.
 
 Defined results: a null text counts as empty; an empty text has 0 tokens and the
@@ -28,23 +29,26 @@ from __future__ import annotations
 
 import base64
 import heapq
-import json
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FOLD_BYTES = 256
-SAMPLE_DOCS = 20_000
-CACHED_WORDS = 300_000
+SAMPLE_DOCS = 30_000
+CACHED_WORDS = 500_000
 #: Characters of text in a block of documents.
 BLOCK_CHARS = 4_000_000
-MEMO = 300_000
-#: Rank of what is no token.
-NONE = 2_000_000_000
+#: Chunks a worker remembers.
+MEMO = 250_000
+#: Rank of a pair that is no token; ids and ranks have ``BITS`` bits.
+BITS = 20
+NONE = 1 << 30
 
 
 def load_ranks(path: str | None = None) -> dict[bytes, int]:
@@ -91,82 +95,74 @@ def let(value: Column, use) -> Column:
 
 
 class RankMap:
-    """Expressions over a literal map from the bytes of a token to its rank."""
+    """A literal map (left id, right id) -> rank of the joined token, and the fold over it."""
 
     def __init__(self, spark, ranks: dict[bytes, int]):
-        tokens = sorted(ranks, key=ranks.get)
-        ids = [ranks[t] for t in tokens]
-        if ids != list(range(len(ids))):
+        if set(ranks.values()) != set(range(len(ranks))) or len(ranks) >= 1 << BITS:
             raise ValueError("ranks must be 0..n-1")
+        pairs = {(ranks[t[:i]] << BITS) | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        keys = np.array(list(pairs), np.int64)
         # Spark's own hash, so that driver and expression agree
-        got = spark.createDataFrame([(i, bytearray(t)) for i, t in enumerate(tokens)], "i int, t binary")
-        got = got.select("i", F.shiftrightunsigned(F.xxhash64("t"), 1).alias("h")).toPandas().sort_values("i")
-        slots = 1 << (2 * len(ids) - 1).bit_length()
-        self.buckets, self.slots = max(1, len(ids) // 3), slots
-        shift, table = _place(got["h"].to_numpy(), slots, self.buckets)
-        arrays = [F.split(F.lit(",".join(map(str, x.tolist()))), ",").cast("array<int>") for x in (shift, table)]
-        pieces = F.from_json(F.lit(json.dumps([base64.b64encode(t).decode() for t in tokens])), "array<binary>")
-        self.literal = arrays[0].alias("shift"), arrays[1].alias("table"), pieces.alias("pieces")
+        got = spark.createDataFrame(pd.DataFrame({"k": keys}), "k bigint").select("k", F.shiftrightunsigned(F.xxhash64("k"), 1).alias("h")).toPandas()
+        keys = got["k"].to_numpy()
+        self.slots, self.buckets = 1 << max(1, (2 * len(keys) - 1).bit_length()), max(1, len(keys) // 3)
+        shift, place = _place(got["h"].to_numpy(), self.slots, self.buckets)
+        both = (keys << BITS) | np.array([pairs[k] for k in keys.tolist()], np.int64)
+        table = np.where(place >= 0, both[place], -1)
+        single = [ranks[bytes([b])] for b in range(256)]
+
+        def literal(values, kind):
+            return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+        self.literal = literal(shift.tolist(), "int").alias("shift"), literal(table.tolist(), "bigint").alias("table"), literal(single, "bigint").alias("single")
 
     def bound(self, use) -> Column:
         """``use(m)`` with the literal bound to m, so that the plan holds it once."""
         return let(F.struct(*self.literal), use)
 
-    def ranks(self, m: Column, pieces: Column) -> Column:
-        """Rank of each piece of bytes; NONE for what is no token or null."""
-        mask = F.lit(self.slots - 1)
+    def element(self, m: Column, left: Column, right: Column) -> Column:
+        """Rank of the pair in the upper bits, id of its left piece in the lower ones."""
+        mask, key = F.lit(self.slots - 1), F.shiftleft(left, BITS).bitwiseOR(right)
 
         def slot(h):
-            shift = F.get(m["shift"], (h % self.buckets).cast("int"))
             step = F.shiftright(h, 40).bitwiseAND(mask).bitwiseOR(F.lit(1))
-            return (F.shiftright(h, 20).bitwiseAND(mask) + shift * step).bitwiseAND(mask).cast("int")
+            return (F.shiftright(h, 20).bitwiseAND(mask) + F.get(m["shift"], (h % self.buckets).cast("int")) * step).bitwiseAND(mask).cast("int")
 
-        def one(piece):
-            found = let(F.shiftrightunsigned(F.xxhash64(piece), 1), lambda h: F.get(m["table"], slot(h)))
-            return let(found, lambda f: F.when(F.get(m["pieces"], f) == piece, f).otherwise(F.lit(NONE)))
+        found = let(F.shiftrightunsigned(F.xxhash64(key), 1), lambda h: F.get(m["table"], slot(h)))
+        rank = let(found, lambda v: F.when(F.shiftright(v, BITS) == key, v.bitwiseAND(F.lit((1 << BITS) - 1))).otherwise(F.lit(NONE)))
+        return F.shiftleft(rank.cast("bigint"), BITS).bitwiseOR(left)
 
-        return F.transform(pieces, one)
+    def alone(self, left: Column) -> Column:
+        return F.lit(NONE << BITS).bitwiseOR(left)
 
     def encode(self, m: Column, word: Column) -> Column:
-        """Ids of a binary word: array<int>."""
-        n = F.octet_length(word)
-        pieces = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1)))
-        twos = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(word, i, F.lit(2)))
-        start = F.struct(pieces.alias("p"), F.when(n > 1, self.ranks(m, twos)).otherwise(F.array().cast("array<int>")).alias("r"))
-
-        def step(acc, _):  # r[i] is the rank of p[i] and p[i + 1] together
-            return let(F.array_min(acc["r"]), lambda least: F.when(least < NONE, let(F.array_position(acc["r"], least).cast("int"), lambda k: merge(acc, k))).otherwise(acc))
+        """Ids of a word given as its array of byte values: array<int>."""
+        low = F.lit((1 << BITS) - 1)
 
-        def merge(acc, k):  # k: place of the left piece of the pair, from 1
-            p, r = acc["p"], acc["r"]
+        def ident(e):
+            return e.bitwiseAND(low)
 
-            def joined(new):
-                near = F.when(k > 1, F.array(F.concat(F.get(p, k - 2), new))).otherwise(F.array().cast("array<binary>"))
-                far = F.when(k < F.size(r), F.array(F.concat(new, F.get(p, k + 1)))).otherwise(F.array().cast("array<binary>"))
-                return F.struct(
-                    F.concat(F.slice(p, F.lit(1), k - 1), F.array(new), F.slice(p, k + 2, F.size(p))).alias("p"),
-                    F.concat(F.slice(r, F.lit(1), F.greatest(k - 2, F.lit(0))), self.ranks(m, F.concat(near, far)), F.slice(r, k + 2, F.size(p))).alias("r"),
-                )
+        def first(ids):
+            return F.transform(ids, lambda a, i: F.when(i + 1 < F.size(ids), self.element(m, a, F.get(ids, i + 1))).otherwise(self.alone(a)))
 
-            return let(F.concat(F.get(p, k - 1), F.get(p, k)), joined)
+        start = let(F.transform(word, lambda b: F.get(m["single"], b)), first)
 
-        folded = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step, lambda acc: acc["p"])
-        return F.when(n > 0, self.ranks(m, folded)).otherwise(F.array().cast("array<int>"))
+        def step(acc, _):  # equal elements are equal pairs, so the first of the least ones is the leftmost
+            return let(F.array_min(acc), lambda e: F.when(e < F.lit(NONE << BITS), merge(acc, F.shiftright(e, BITS), F.array_position(acc, e).cast("int"))).otherwise(acc))
 
-    def decode(self, m: Column, ids: Column) -> Column:
-        """The bytes of an array of ids."""
-        return F.aggregate(ids, F.lit(b"").cast("binary"), lambda acc, i: F.concat(acc, F.get(m["pieces"], i)))
+        def merge(acc, new, place):  # the joined piece's id is the pair's rank; place: of the left piece, from 1
+            def at(k):
+                before = F.when(k > 1, F.array(self.element(m, ident(F.get(acc, k - 2)), new))).otherwise(F.array().cast("array<bigint>"))
+                here = F.when(k + 1 < F.size(acc), self.element(m, new, ident(F.get(acc, k + 1)))).otherwise(self.alone(new))
+                return F.concat(F.slice(acc, F.lit(1), F.greatest(k - 2, F.lit(0))), before, F.array(here), F.slice(acc, k + 2, F.size(acc)))
 
-    def both(self, words: Column) -> Column:
-        """Array of (ids joined by spaces, decoded bytes) of an array of words."""
+            return let(place, at)
 
-        def one(m, w):
-            return let(
-                self.encode(m, w.cast("binary")),
-                lambda ids: F.struct(F.array_join(ids.cast("array<string>"), " ").alias("ids"), self.decode(m, ids).alias("bytes")),
-            )
+        folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(word) - 1, F.lit(1))), start, step)
+        return F.transform(folded, lambda e: ident(e).cast("int"))
 
-        return self.bound(lambda m: F.transform(words, lambda w: one(m, w)))
+    def encode_all(self, words: Column) -> Column:
+        return self.bound(lambda m: F.transform(words, lambda w: self.encode(m, w)))
 
 
 def heap_encode(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -197,144 +193,154 @@ def heap_encode(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 # --- texts to words and back ------------------------------------------------
 
 
-class Lookup:
-    """Known words -> (ids joined by spaces, decoded bytes), with a memo for chunks.
+class Odd(Exception):
+    """A chunk that cannot be cut by itself."""
+
+
+class Chunks(dict):
+    """Chunk (what follows a space up to the next one) -> its ids, packed.
 
-    A chunk is a space and what follows up to the next one. A chunk that neither
-    begins nor ends with white space is cut by the pattern like the same stretch of
-    the whole text, so its words are found once per distinct chunk.
+    A chunk that neither begins nor ends with white space is cut by the pattern
+    like the same stretch of the whole text. Words not known yet get placeholders
+    -1, -2, ...; chunks with such are forgotten at the end of a block.
     """
 
-    def __init__(self, known: dict, pattern: str):
-        self.known, self.find, self.memo = known, regex.compile(pattern).findall, {}
-
-    def words(self, text: str) -> tuple[list[str], list[str]] | list[str]:
-        """(chunks after the first, words of the first), or all words."""
-        chunks = text.split(" ")
-        rest = chunks[1:]
-        new = {c for c in set(rest) if c not in self.memo}
-        if any(not c or c[0].isspace() or c[-1].isspace() for c in new) or chunks[0][-1:].isspace():
-            return self.find(text)
-        return rest, self.find(chunks[0])
-
-    def missing(self, text: str) -> set[str]:
-        got = self.words(text)
-        if isinstance(got, list):
-            return {w for w in got if w not in self.known}
-        rest, first = got
-        out = {w for w in first if w not in self.known}
-        for c in set(rest):
-            if c not in self.memo:
-                lack = [w for w in self.find(" " + c) if w not in self.known]
-                if lack:
-                    out.update(lack)
-                else:
-                    self.keep(c)
-        return out
-
-    def keep(self, chunk: str) -> None:
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        got = [self.known[w] for w in self.find(" " + chunk)]
-        self.memo[chunk] = (" ".join(x for x, _ in got), b"".join(x for _, x in got))
-
-    def pair(self, text: str, extra: dict) -> tuple[str, bytes]:
-        """Ids joined by spaces and decoded bytes of a whole text."""
-        known = self.known
-
-        def of(w):
-            return known.get(w) or extra[w]
-
-        got = self.words(text)
-        if isinstance(got, list):
-            parts = [of(w) for w in got]
-        else:
-            rest, first = got
-            memo, own = self.memo, {}
-            for c in set(rest):
-                if c not in memo:
-                    ws = [of(w) for w in self.find(" " + c)]
-                    own[c] = (" ".join(x for x, _ in ws), b"".join(x for _, x in ws))
-            parts = [of(w) for w in first]
-            parts += [own[c] if c in own else memo[c] for c in rest] if own else [memo[c] for c in rest]
-        return " ".join([x for x, _ in parts]), b"".join([x for _, x in parts])
-
-
-def frequent_words(docs: DataFrame, ranks: RankMap, pattern: str, sample_docs: int, n_words: int) -> dict:
+    def __init__(self, known: dict[str, bytes], pattern: str):
+        super().__init__()
+        self.known, self.find = known, regex.compile(pattern).findall
+        self.lack: dict[str, int] = {}
+        self.passing: list[str] = []
+
+    def word(self, w: str) -> bytes:
+        got = self.known.get(w)
+        if got is None:
+            got = np.int32(-1 - self.lack.setdefault(w, len(self.lack))).tobytes()
+        return got
+
+    def __missing__(self, chunk: str) -> bytes:
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            raise Odd
+        words = self.find(" " + chunk)
+        known = all(w in self.known for w in words)
+        got = b"".join(map(self.word, words))
+        self[chunk] = got
+        if not known or len(self) > MEMO:
+            self.passing.append(chunk)
+        return got
+
+    def text(self, text: str) -> bytes:
+        first, *rest = text.split(" ")
+        try:
+            if first[-1:].isspace():
+                raise Odd
+            return b"".join(map(self.word, self.find(first))) + b"".join(map(self.__getitem__, rest))
+        except Odd:
+            return b"".join(map(self.word, self.find(text)))
+
+    def end_block(self) -> list[str]:
+        words = list(self.lack)
+        for c in self.passing:
+            del self[c]
+        self.lack, self.passing = {}, []
+        return words
+
+
+def fill(packed: bytes, folded: list[bytes]) -> list[int]:
+    """Ids with the placeholders replaced."""
+    a = np.frombuffer(packed, np.int32)
+    gaps = np.flatnonzero(a < 0)
+    if not len(gaps):
+        return a.tolist()
+    parts, at = [], 0
+    for g, k in zip(gaps.tolist(), (-1 - a[gaps]).tolist()):
+        parts += packed[4 * at : 4 * g], folded[k]
+        at = g + 1
+    parts.append(packed[4 * at :])
+    return np.frombuffer(b"".join(parts), np.int32).tolist()
+
+
+def _packed(ids) -> bytes:
+    return np.asarray(ids, np.int32).tobytes()
+
+
+def frequent_words(docs: DataFrame, ranks: RankMap, pattern: str, sample_docs: int, n_words: int) -> dict[str, bytes]:
     """The most frequent words of a sample of documents, encoded; at most ``n_words`` entries."""
 
     def cut(batches: Iterator[pa.RecordBatch]):
         find = regex.compile(pattern).findall
         for b in batches:
-            from collections import Counter
-
-            c = Counter()
+            c: Counter = Counter()
             for t in b.column("text").to_pylist():
-                c.update(find(t or ""))
+                c.update(find(t))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
 
     share = min(1.0, sample_docs / max(1, docs.count()))
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("text")
     counts = sample.mapInArrow(cut, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     top = counts.where(F.octet_length("word") <= FOLD_BYTES).orderBy(F.col("n").desc(), "word").limit(n_words).select("word")
-    # the distinct words are folded in arrays dealt to all cores
-    packed = top.groupBy(F.pmod(F.xxhash64("word"), F.lit(64)).alias("b")).agg(F.collect_list("word").alias("words"))
-    got = packed.select(F.explode(F.arrays_zip("words", ranks.both(F.col("words")).alias("got"))).alias("x")).select("x.words", "x.got.ids", "x.got.bytes").toArrow()
-    return dict(zip(got.column(0).to_pylist(), zip(got.column(1).to_pylist(), got.column(2).to_pylist())))
+
+    def as_bytes(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            words = b.column("word").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([words], pa.list_(pa.string())), pa.array([[list(w.encode()) for w in words]], pa.list_(pa.list_(pa.int32())))], ["words", "raw"])
+
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    packed = top.repartition(cores * 4, "word").mapInArrow(as_bytes, "words array<string>, raw array<array<int>>")
+    got = packed.select("words", ranks.encode_all(F.col("raw")).alias("ids")).toArrow()
+    known: dict[str, bytes] = {}
+    for words, ids in zip(got.column(0), got.column(1)):
+        known.update(zip(words.as_py(), map(_packed, ids.as_py())))
+    return known
 
 
 def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None, sample_docs: int = SAMPLE_DOCS, cached_words: int = CACHED_WORDS) -> DataFrame:
     """Per row: doc_id, ids (decimal, joined by spaces), decoded (binary)."""
     spark = docs.sparkSession
     pattern = pattern or default_pattern()
-    rank_dict = load_ranks(path)
-    ranks = RankMap(spark, rank_dict)
+    tokens = load_ranks(path)
+    ranks = RankMap(spark, tokens)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = spark.sparkContext.broadcast(frequent_words(docs, ranks, pattern, sample_docs, cached_words))
-    long_ranks = spark.sparkContext.broadcast(rank_dict)
+    vocabulary = spark.sparkContext.broadcast(sorted(tokens, key=tokens.get))
 
     def block(batches: Iterator[pa.RecordBatch]):
-        look = Lookup(known.value, pattern)
+        chunks = Chunks(known.value, pattern)
         for b in batches:
-            ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
+            ids, texts = b.column("doc_id"), b.column("text").to_pylist()
             lo = 0
-            while lo < len(ids):
-                hi, chars = lo, 0
-                lack: set[str] = set()
-                while hi < len(ids) and (hi == lo or chars + len(texts[hi]) <= BLOCK_CHARS):
+            while lo < len(texts):
+                hi, chars, out = lo, 0, []
+                while hi < len(texts) and (hi == lo or chars + len(texts[hi]) <= BLOCK_CHARS):
                     chars += len(texts[hi])
-                    lack |= look.missing(texts[hi])
+                    out.append(chunks.text(texts[hi]))
                     hi += 1
-                rows = [{"doc_id": i, "text": t} for i, t in zip(ids[lo:hi], texts[lo:hi])]
-                words = [w for w in lack if len(w.encode()) <= FOLD_BYTES]
-                yield pa.RecordBatch.from_pylist([{"docs": rows, "words": words}], schema)
+                words = [w.encode() for w in chunks.end_block()]
+                # long words are marked by an empty array and merged behind the fold
+                raw = [list(w) if len(w) <= FOLD_BYTES else [] for w in words]
+                cols = [ids.slice(lo, hi - lo).to_pylist(), out, words, raw]
+                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cols, kinds)], ["doc_ids", "packed", "words", "raw"])
                 lo = hi
 
-    def digest(batches: Iterator[pa.RecordBatch]):
-        look = Lookup(known.value, pattern)
+    def finish(batches: Iterator[pa.RecordBatch]):
+        pieces = vocabulary.value
+        names = [str(i) for i in range(len(pieces))]
+        by_bytes: dict[bytes, int] = {}
         for b in batches:
             for row in range(b.num_rows):
-                r = b.slice(row, 1)
-                got = r.column("got")[0].as_py()
-                extra = Missing(zip(r.column("words")[0].as_py(), ((x["ids"], x["bytes"]) for x in got)))
-                held = r.column("docs")[0].as_py()
-                for d in held:
-                    look.missing(d["text"])  # files the chunks of known words
-                pairs = [look.pair(d["text"], extra) for d in held]
-                cols = [pa.array([d["doc_id"] for d in held], pa.int64()), pa.array([x for x, _ in pairs], pa.large_string()), pa.array([x for _, x in pairs], pa.large_binary())]
-                yield pa.RecordBatch.from_arrays([cols[0], cols[1].cast(pa.string()), cols[2].cast(pa.binary())], ["doc_id", "ids", "decoded"])
-
-    class Missing(dict):
-        def __missing__(self, word):
-            ids = heap_encode(word.encode(), long_ranks.value)
-            back = {i: t for t, i in long_ranks.value.items()}
-            self[word] = (" ".join(map(str, ids)), b"".join(back[i] for i in ids))
-            return self[word]
-
-    schema = pa.schema([("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("text", pa.string())]))), ("words", pa.list_(pa.string()))])
-    blocks = docs.mapInArrow(block, "docs array<struct<doc_id: bigint, text: string>>, words array<string>")
-    blocks = blocks.withColumn("got", ranks.both(F.col("words")))
-    return blocks.mapInArrow(digest, "doc_id bigint, ids string, decoded binary")
+                doc_ids, packed, words, ids = (b.column(c)[row].as_py() for c in ("doc_ids", "packed", "words", "ids"))
+                if any(len(w) > FOLD_BYTES for w in words):
+                    by_bytes = by_bytes or {t: i for i, t in enumerate(pieces)}
+                    ids = [x if len(w) <= FOLD_BYTES else heap_encode(w, by_bytes) for w, x in zip(words, ids)]
+                folded = list(map(_packed, ids))
+                full = [fill(p, folded) for p in packed]
+                joined = [" ".join(map(names.__getitem__, x)) for x in full]
+                decoded = [b"".join(map(pieces.__getitem__, x)) for x in full]
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(joined, pa.string()), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
+
+    kinds = pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.list_(pa.int32()))
+    blocks = docs.mapInArrow(block, "doc_ids array<bigint>, packed array<binary>, words array<binary>, raw array<array<int>>")
+    blocks = blocks.select("doc_ids", "packed", "words", ranks.encode_all(F.col("raw")).alias("ids"))
+    return blocks.mapInArrow(finish, "doc_id bigint, ids string, decoded binary")
 
 
 def encode_digests(docs: DataFrame, **options) -> DataFrame:
