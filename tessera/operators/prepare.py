@@ -312,6 +312,8 @@ def prepare_matrix(features_df: DataFrame, spec: FeatureSpec = MUSIC, *, materia
     extra = [F.count(F.lit(1)).alias("_n")]
     if spec.log:
         extra += [F.min(F.col(c)).alias(f"_min_{c}") for c in spec.log]
+    endless = [F.coalesce((F.abs(F.col(c)) == float("inf")).cast("int"), F.lit(0)) for c in spec.features]
+    extra += [F.max(e).alias(f"_inf_{c}") for c, e in zip(spec.features, endless)]
     medians, nonnull, extras = exact_medians(kept, list(spec.features), extra_aggs=extra)
     n_kept = int(extras[0])
     if n_kept == 0:
@@ -321,6 +323,10 @@ def prepare_matrix(features_df: DataFrame, spec: FeatureSpec = MUSIC, *, materia
         raise ValueError(
             f"Every row has more than {spec.max_missing} missing features; nothing left to cluster."
         )
+    unbounded = [c for c, e in zip(spec.features, extras[1 + len(spec.log):]) if e]
+    if unbounded:
+        kept.unpersist()
+        raise ValueError(f"infinite values in feature column(s): {', '.join(unbounded)}")
     for j, c in enumerate(spec.log):
         lowest = extras[1 + j]
         if lowest is not None and lowest <= 0:

@@ -171,6 +171,10 @@ class RetryPolicy:
     cap: float = BACKOFF_CAP
     retry_statuses: tuple[int, ...] = RETRY_STATUSES
 
+    def retries(self, status: int | None) -> bool:
+        """Transport failures (no status), every 5xx and the listed statuses are worth another try."""
+        return status is None or status // 100 == 5 or status in self.retry_statuses
+
     def delay(self, attempt: int, retry_after: float | None = None) -> float:
         if retry_after is not None:
             return min(max(0.0, float(retry_after)), self.cap)
@@ -183,7 +187,7 @@ class RetryPolicy:
             try:
                 return fn()
             except TransientError as exc:
-                if exc.status is not None and exc.status not in self.retry_statuses:
+                if not self.retries(exc.status):
                     raise
                 if attempt >= self.max_retries:
                     raise
@@ -225,7 +229,7 @@ def remote_lookup(
             for batch in chunked(batch_ids, batch_size):
                 try:
                     got = policy.call(lambda b=batch: fetch(b), sleep=sleep)
-                except Exception:  # noqa: BLE001 - a failed batch becomes misses
+                except (TransientError, OSError):  # the service failed: misses; faults in ``fetch`` itself go up
                     continue
                 if isinstance(got, list):
                     rows.extend(g for g in got if isinstance(g, dict))

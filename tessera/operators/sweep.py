@@ -10,8 +10,10 @@ next parameters with the next scan. Converged models drop out of the scan.
 
 Initialisation follows the library defaults the original tool relies on:
 GMM starts from a one-init K-means partition; K-means from k-means++
-seeds. Seeding runs on a bounded, seeded row sample (the only rows that
-ever reach the driver); all iterations then run on the full matrix.
+seeds. Seeds come from the whole matrix by k-means||: a few rounds draw rows
+in proportion to their squared distance from what is drawn already, and only
+these (some multiples of k, however many rows there are) reach the driver,
+with the number of rows nearest to each as weights.
 """
 
 from __future__ import annotations
@@ -27,10 +29,11 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import hash_sample
 from tessera.spec import EM_MAX_ITER, EM_REG_COVAR, EM_TOL, KMEANS_MAX_ITER, KMEANS_TOL
 
-SEED_SAMPLE_ROWS = 20_000
+#: k-means||: rounds, and rows drawn in a round per centre sought.
+SEED_ROUNDS = 3
+SEED_DRAWS = 4
 _EPS10 = 10 * np.finfo(np.float64).eps
 _LOG2PI = math.log(2 * math.pi)
 
@@ -221,43 +224,91 @@ def _unpack(stats, mid: int, k: int, d: int, cov_type: str):
 
 
 # ---------------------------------------------------------------------------
-# seeding on a bounded sample
+# seeding from all rows (k-means||)
 # ---------------------------------------------------------------------------
 
-def seed_sample(vecs: DataFrame, n: int, seed: int, max_rows: int = SEED_SAMPLE_ROWS) -> np.ndarray:
-    """A seeded, bounded row sample used only to place initial centres.
+@dataclass
+class Seeds:
+    """Rows drawn for one init, and how many rows of the matrix lie nearest to each."""
+
+    points: np.ndarray
+    weights: np.ndarray
+
+
+def _sq_dists(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ c.T + (c * c).sum(axis=1)[None, :], 0.0)
+
+
+def _hash01(row_id: np.ndarray, *salt: int) -> np.ndarray:
+    """Uniform numbers in [0, 1) that depend on the row id and the salt alone."""
+    h = row_id.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        for s in salt:
+            h = (h + np.uint64(s + 1)) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h ^= h >> np.uint64(31)
+    return (h >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+
+
+def draw_seeds(vecs: DataFrame, k_max: int, n_init: int, seed: int) -> list[Seeds]:
+    """Candidate centres of every init, from scans of the whole matrix."""
+    d_of = vecs.select("row_id", "x")
+    firsts = d_of.agg(*[F.min_by("x", F.struct(F.xxhash64(F.col("row_id"), F.lit(seed), F.lit(i)), "row_id")).alias(f"c{i}") for i in range(n_init)]).first()
+    drawn = {i: np.array([firsts[i]], dtype=np.float64) for i in range(n_init)}
+    want = float(SEED_DRAWS * k_max)
+    for r in range(SEED_ROUNDS):
+        def spread(x, now=dict(drawn)):
+            for i, c in now.items():
+                yield i, 0, np.array([_sq_dists(x, c).min(axis=1).sum()])
+
+        total = {i: float(v[0]) for (i, _), v in _run_scan(vecs, spread, n_init).items()}
+
+        def pick(it, now=dict(drawn), total=total, r=r):
+            for batch in it:
+                if batch.num_rows == 0:
+                    continue
+                x, ids = x_of_batch(batch), batch.column("row_id").to_numpy(zero_copy_only=False)
+                for i, c in now.items():
+                    if total.get(i, 0.0) <= 0:
+                        continue
+                    share = want * _sq_dists(x, c).min(axis=1) / total[i]
+                    at = np.flatnonzero(_hash01(ids, seed, i, r) < share)
+                    if len(at):
+                        rows = pa.array([x[a].tolist() for a in at], pa.list_(pa.float64()))
+                        yield pa.RecordBatch.from_arrays([pa.array([i] * len(at), pa.int32()), pa.array(ids[at], pa.int64()), rows], names=["i", "row_id", "x"])
+
+        new = d_of.mapInArrow(pick, "i int, row_id long, x array<double>").collect()
+        for i in range(n_init):
+            rows = [q["x"] for q in sorted((q for q in new if q["i"] == i), key=lambda q: q["row_id"])]
+            if rows:
+                drawn[i] = np.vstack([drawn[i], np.array(rows, dtype=np.float64)])
 
-    Rows are chosen by a hash of ``row_id`` and returned in ``row_id`` order
-    (a bounded top-k), so the seeds do not depend on the partitioning.
-    """
-    frac = min(1.0, 1.2 * max_rows / max(1, n))
-    df = hash_sample(vecs.select("row_id", "x"), frac, seed)
-    rows = df.orderBy("row_id").limit(max_rows).select("x").collect()
-    return np.array([r["x"] for r in rows], dtype=np.float64)
+    def nearest(x):
+        for i, c in drawn.items():
+            yield i, 0, np.bincount(_sq_dists(x, c).argmin(axis=1), minlength=len(c)).astype(np.float64)
 
+    weights = _run_scan(vecs, nearest, sum(map(len, drawn.values())))
+    return [Seeds(drawn[i], np.maximum(weights[(i, 0)], 1e-9)) for i in range(n_init)]
 
-def kmeanspp(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """Greedy k-means++ seeding (2 + log k trials per centre)."""
-    n = len(x)
+
+def kmeanspp(seeds: Seeds, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Greedy k-means++ on weighted points (2 + log k trials per centre)."""
+    x, w = seeds.points, seeds.weights
     trials = 2 + int(np.log(k))
-    centers = [x[rng.integers(n)]]
-    d2 = ((x - centers[0]) ** 2).sum(axis=1)
-    for _ in range(1, k):
-        tot = d2.sum()
-        if tot <= 0:
-            centers.append(x[rng.integers(n)])
+    first = int(rng.choice(len(x), p=w / w.sum()))
+    chosen, d2 = [first], _sq_dists(x, x[[first]])[:, 0]
+    while len(chosen) < k:
+        mass = d2 * w
+        if mass.sum() <= 0:  # fewer distinct points than centres
+            chosen.append(int(rng.integers(len(x))))
             continue
-        cand = np.searchsorted(np.cumsum(d2), rng.random(trials) * tot)
-        cand = np.minimum(cand, n - 1)
-        best, best_pot, best_d2 = None, np.inf, None
-        for ci in cand:
-            nd2 = np.minimum(d2, ((x - x[ci]) ** 2).sum(axis=1))
-            pot = nd2.sum()
-            if pot < best_pot:
-                best, best_pot, best_d2 = ci, pot, nd2
-        centers.append(x[best])
-        d2 = best_d2
-    return np.array(centers)
+        trial = rng.choice(len(x), size=trials, p=mass / mass.sum())
+        after = np.minimum(d2[:, None], _sq_dists(x, x[trial]))
+        best = int((after * w[:, None]).sum(axis=0).argmin())
+        chosen.append(int(trial[best]))
+        d2 = after[:, best]
+    return x[chosen].copy()
 
 
 # ---------------------------------------------------------------------------
@@ -324,6 +375,52 @@ def _lloyd_fn(models: dict[int, np.ndarray]):
     return stats
 
 
+def _farthest(vecs: DataFrame, centers: np.ndarray, count: int) -> np.ndarray:
+    """The ``count`` rows farthest from their nearest centre; each task hands on as many."""
+
+    def run(it):
+        for batch in it:
+            if batch.num_rows == 0:
+                continue
+            x = x_of_batch(batch)
+            far = _sq_dists(x, centers).min(axis=1)
+            at = np.argsort(-far, kind="stable")[:count]
+            yield pa.RecordBatch.from_arrays([pa.array(far[at]), pa.array([x[a].tolist() for a in at], pa.list_(pa.float64()))], names=["far", "x"])
+
+    top = vecs.select("x").mapInArrow(run, "far double, x array<double>").orderBy(F.col("far").desc(), "x").limit(count)
+    return np.array([r["x"] for r in top.collect()], dtype=np.float64)
+
+
+def lloyd(vecs: DataFrame, models: dict[int, KMeansModel], d: int, tol: float, max_iter: int) -> dict[int, KMeansModel]:
+    """Lloyd iterations of all models over the whole matrix; converged ones leave the scan.
+
+    A centre that loses all its rows moves to the row farthest from its centre.
+    """
+    live, done = dict(models), {}
+    width = sum(km.k * (2 + d) + 1 for km in live.values())
+    for it in range(max_iter):
+        if not live:
+            break
+        stats = _run_scan(vecs, _lloyd_fn({m: km.centers for m, km in live.items()}), width)
+        for m in list(live):
+            km = live[m]
+            rows = {j: v for j in range(km.k) if (v := stats.get((m, j))) is not None and v[0] > 0}
+            new = km.centers.copy()
+            for j, v in rows.items():
+                new[j] = v[1:1 + d] / v[0]
+            empty = [j for j in range(km.k) if j not in rows]
+            if empty:
+                far = _farthest(vecs, km.centers, len(empty))
+                new[empty[:len(far)]] = far
+            km.inertia = float(stats.get((m, -1), [np.inf])[0])
+            shift = float(((new - km.centers) ** 2).sum())
+            km.centers, km.n_iter = new, it + 1
+            if shift <= tol:
+                km.converged = True
+                done[m] = live.pop(m)
+    return {**done, **live}
+
+
 def kmeans_sweep(
     vecs: DataFrame,
     n: int,
@@ -335,38 +432,18 @@ def kmeans_sweep(
     max_iter: int = KMEANS_MAX_ITER,
 ) -> dict[int, KMeansModel]:
     """Best-of-``n_init`` K-means for every k, all models in each scan."""
-    sample = seed_sample(vecs, n, seed)
+    seeds = draw_seeds(vecs, max(ks), n_init, seed)
     live: dict[int, KMeansModel] = {}
     key: dict[int, tuple[int, int]] = {}
     mid = 0
     for k in ks:
         for i in range(n_init):
             rng = np.random.default_rng([seed, k, i])
-            live[mid] = KMeansModel(k=k, centers=kmeanspp(sample, k, rng))
+            live[mid] = KMeansModel(k=k, centers=kmeanspp(seeds[i], k, rng))
             key[mid] = (k, i)
             mid += 1
-    done: dict[int, KMeansModel] = {}
-    tol = KMEANS_TOL * feature_var_mean
     width = n_init * sum(k * (2 + d) + 1 for k in ks)
-    for it in range(max_iter):
-        if not live:
-            break
-        stats = _run_scan(vecs, _lloyd_fn({m: km.centers for m, km in live.items()}), width)
-        for m in list(live):
-            km = live[m]
-            new = km.centers.copy()
-            for j in range(km.k):
-                v = stats.get((m, j))
-                if v is not None and v[0] > 0:
-                    new[j] = v[1:1 + d] / v[0]
-            km.inertia = float(stats.get((m, -1), [np.inf])[0])
-            shift = float(((new - km.centers) ** 2).sum())
-            km.centers = new
-            km.n_iter = it + 1
-            if shift <= tol:
-                km.converged = True
-                done[m] = live.pop(m)
-    done.update(live)
+    done = lloyd(vecs, live, d, KMEANS_TOL * feature_var_mean, max_iter)
     # final inertia with the final centres (one more batched scan)
     stats = _run_scan(vecs, _lloyd_fn({m: km.centers for m, km in done.items()}), width)
     best: dict[int, KMeansModel] = {}
@@ -412,23 +489,20 @@ def gmm_sweep(
     max_iter: int = EM_MAX_ITER,
 ) -> dict[int, Gmm]:
     """Best-of-``n_init`` mixture for every k (highest final lower bound)."""
-    sample = seed_sample(vecs, n, seed)
-    # 1. seeds -> short Lloyd on the sample -> hard partition of the full data
-    inits: dict[int, np.ndarray] = {}
+    # 1. seeds -> K-means over all rows to its end -> hard partition
+    seeds = draw_seeds(vecs, max(ks), n_init, seed)
+    moments = _run_scan(vecs, lambda x: [(0, 0, np.concatenate([x.sum(axis=0), (x * x).sum(axis=0)]))], 2 * d)[(0, 0)] / n
+    var = float(np.maximum(moments[d:] - moments[:d] ** 2, 0.0).mean())
+    start: dict[int, KMeansModel] = {}
     key: dict[int, tuple[int, int]] = {}
     mid = 0
     for k in ks:
         for i in range(n_init):
             rng = np.random.default_rng([seed, k, i, 7])
-            c = kmeanspp(sample, k, rng)
-            for _ in range(20):
-                lab = ((sample[:, None, :] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
-                for j in range(k):
-                    if (lab == j).any():
-                        c[j] = sample[lab == j].mean(axis=0)
-            inits[mid] = c
+            start[mid] = KMeansModel(k=k, centers=kmeanspp(seeds[i], k, rng))
             key[mid] = (k, i)
             mid += 1
+    inits = {m: km.centers for m, km in lloyd(vecs, start, d, KMEANS_TOL * var, KMEANS_MAX_ITER).items()}
     width = _em_width(ks, n_init, d, cov_type)
     stats = _run_scan(vecs, _em_stats_fn({m: cov_type for m in inits}, hard_centers=inits), width)
     live: dict[int, Gmm] = {}

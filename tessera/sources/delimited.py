@@ -1,9 +1,11 @@
 """Delimited track lists (S1-S9): delimiter fallback, projection, cleaning, preview.
 
 The file is read by Spark's CSV source with an explicit all-string schema
-(no inference pass), RFC-4180 quoting (``""`` inside quotes) and, because
-quoted titles may hold newlines, ``multiLine`` only when asked for: it stops
-Spark from splitting a large file, so big exports keep it off.
+(no inference pass) and RFC-4180 quoting (``""`` inside quotes). Quoted titles
+may hold line breaks, so those are read by default; a file then goes to one
+task. ``multi_line=False`` lets Spark split large files that are known to hold
+none. With ``strict=False`` malformed rows (too many or too few fields) do not
+stop the load; ``read_rejects`` returns them as they stand in the file.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from tessera.spec import (
 
 REQUIRED = (SRC_TRACK_NAME, SRC_ARTIST_NAME, SRC_TRACK_URI)
 DELIMITERS = (",", ";")
+#: Column that holds a malformed row's text while reading.
+REJECTED = "_rejected"
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -68,14 +72,25 @@ def read_delimited(
     spark: SparkSession,
     path: str,
     *,
-    multi_line: bool = False,
+    multi_line: bool = True,
     strict: bool = True,
 ) -> DataFrame:
-    """Raw all-string frame of a delimited export."""
+    """Raw all-string frame of a delimited export (S1/S2); malformed rows raise or are left to ``read_rejects``."""
+    raw = _reader(spark, path, multi_line, strict)
+    return raw if strict else raw.where(F.col(REJECTED).isNull()).drop(REJECTED)
+
+
+def read_rejects(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
+    """The malformed rows of a delimited export as text: one column, ``rejected``."""
+    raw = _reader(spark, path, multi_line, False)
+    return cut_lineage(raw.where(F.col(REJECTED).isNotNull())).select(F.col(REJECTED).alias("rejected"))
+
+
+def _reader(spark: SparkSession, path: str, multi_line: bool, strict: bool) -> DataFrame:
     if not path_exists(spark, path):
         raise FileNotFoundError(f"track list not found: {path}")
     sep, cols = choose_delimiter(spark, path)
-    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in cols])
+    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in (cols if strict else [*cols, REJECTED])])
     reader = (
         spark.read.schema(schema)
         .option("header", True)
@@ -84,7 +99,9 @@ def read_delimited(
         .option("escape", '"')
         .option("multiLine", multi_line)
         .option("mode", "FAILFAST" if strict else "PERMISSIVE")
-        .option("enforceSchema", False)
+        .option("columnNameOfCorruptRecord", REJECTED)
+        .option("columnPruning", strict)  # a row is judged by all its fields
+        .option("enforceSchema", not strict)
     )
     return reader.csv(path)
 
@@ -105,30 +122,35 @@ class TrackLibrary:
 
     path: str
     tracks: DataFrame
+    n_rows: int | None = None
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, *, multi_line: bool = False, strict: bool = True) -> "TrackLibrary":
+    def load(cls, spark: SparkSession, path: str, *, multi_line: bool = True, strict: bool = True) -> "TrackLibrary":
         t = clean_tracks(read_delimited(spark, path, multi_line=multi_line, strict=strict))
         # ids follow file order (partition index, then position) and are materialised once
         t = cut_lineage(t.withColumn(ROW_ID, F.monotonically_increasing_id()).select(ROW_ID, TRACK_ID, TITLE, ARTIST))
-        if t.isEmpty():  # S7
+        n = t.count()
+        if not n:  # S7
             raise ValueError(f"No tracks with a track id found in {path}.")
-        return cls(path, t)
+        return cls(path, t, n)
 
     @property
     def dataframe(self) -> DataFrame:
         return self.tracks.select(TITLE, ARTIST, TRACK_ID)
 
     def count(self) -> int:
-        return self.tracks.count()
+        """Rows of the list; counted once, at loading."""
+        if self.n_rows is None:
+            self.n_rows = self.tracks.count()
+        return self.n_rows
 
     def __len__(self) -> int:
         return self.count()
 
     def __repr__(self) -> str:
-        return f"TrackLibrary(path={self.path!r})"
+        return f"TrackLibrary({self.count()} tracks from {self.path!r})"
 
-    def preview(self, max_rows: int = PREVIEW_MAX_ROWS) -> DataFrame:
+    def preview(self, max_rows: int | None = PREVIEW_MAX_ROWS) -> DataFrame:
         return preview(self.tracks, max_rows)
 
     def extract_features(self, resolver, mode: str = "precomputed"):
@@ -138,11 +160,10 @@ class TrackLibrary:
         return extract(self.tracks, resolver, mode)
 
 
-def preview(df: DataFrame, max_rows: int = PREVIEW_MAX_ROWS, order_col: str = ROW_ID) -> DataFrame:
-    """All rows when short; else the first and last ``max_rows // 2`` rows, with a
+def preview(df: DataFrame, max_rows: int | None = PREVIEW_MAX_ROWS, order_col: str = ROW_ID) -> DataFrame:
+    """All rows when short or when ``max_rows`` is None; else the first and last ``max_rows // 2`` rows, with a
     ``part`` column ('head' / 'tail'). Two bounded top-k reads, never a full sort."""
-    n = df.count()
-    if n <= max_rows:
+    if max_rows is None or df.count() <= max_rows:
         return df.withColumn("part", F.lit("all"))
     half = max(1, max_rows // 2)
     head = df.orderBy(F.col(order_col).asc()).limit(half).withColumn("part", F.lit("head"))

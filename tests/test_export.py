@@ -93,3 +93,22 @@ def test_write_multi_part_layout(spark, tmp_path):
     back = spark.read.option("header", True).csv(paths[1])
     assert back.count() == 3
     assert spark.read.option("header", True).csv(paths[-(10 ** 9)]).count() == 6
+
+
+@pytest.mark.parametrize("single_files", [True, False])
+def test_written_files_read_back_unchanged(spark, tmp_path, single_files):
+    texts = ['He said "hi", ok', "  edges  ", "a,b;c", "two\nlines", "", None, '"']
+    rows = [(i, f"id{i}", t, "A", 0, "s") for i, t in enumerate(texts)]
+    tracks = spark.createDataFrame(rows, "row_id long, spotify_id string, title string, artist string, cluster int, cluster_summary string")
+    paths = E.write_cluster_csvs(tracks, str(tmp_path / "o"), single_files=single_files)
+    back = spark.read.options(header=True, quote='"', escape='"', multiLine=True, nullValue="\\N").csv(paths[0])
+    got = {r[0]: r[1] for r in back.collect()}
+    assert got == {f"spotify:track:id{i}": t for i, t in enumerate(texts)}
+    files = [paths[0]] if single_files else [os.path.join(paths[0], f) for f in os.listdir(paths[0]) if f.endswith(".csv")]
+    raw = [r for f in files for r in csv.reader(open(f, newline="", encoding="utf-8")) if r[0].startswith("spotify")]
+    assert {r[0]: r[1] for r in raw} == {f"spotify:track:id{i}": t or "" for i, t in enumerate(texts)}
+
+
+def test_empty_result_writes_nothing(spark, tmp_path):
+    assert E.write_cluster_csvs(_tracks(spark).limit(0), str(tmp_path / "none")) == {}
+    assert os.listdir(tmp_path / "none") == []

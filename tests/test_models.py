@@ -138,3 +138,34 @@ def test_hdbscan_stricter_min_samples_more_noise(spark):
     loose = C.fit_hdbscan(v, len(x), 2, 5, 2)
     strict = C.fit_hdbscan(v, len(x), 2, 5, 15)
     assert strict.noise_rate >= loose.noise_rate
+
+
+def test_hdbscan_piles_of_equal_points(spark):
+    from tessera.operators.density import fit_hdbscan
+
+    x = np.repeat([[0.0], [1.0], [100.0]], 10, axis=0)
+    labels, _ = fit_hdbscan(vec_frame(spark, x), 30, 5)
+    by = {r["row_id"]: r["cluster"] for r in labels.collect()}
+    assert len({by[i] for i in range(10)}) == len({by[i] for i in range(10, 20)}) == len({by[i] for i in range(20, 30)}) == 1
+    assert sorted({by[0], by[10], by[20]}) == [0, 1, 2]
+
+
+def test_seeds_come_from_all_rows(spark):
+    """A group that stands only in the last rows of a long table gets a centre."""
+    from tessera.operators import sweep as W
+
+    rng = np.random.default_rng(0)
+    x = np.vstack([rng.normal(0, 1, (13_000, 2)), rng.normal(0, 1, (13_000, 2)) + [30, 0], rng.normal(0, 1, (60, 2)) + [0, 60]])
+    best = W.kmeans_sweep(vec_frame(spark, x), len(x), 2, [3], 2, 0, float(x.var(axis=0).mean()))
+    assert min(np.abs(best[3].centers - [0, 60]).sum(axis=1)) < 1
+    seeds = W.draw_seeds(vec_frame(spark, x), 3, 2, 0)
+    assert all(abs(s.weights.sum() - len(x)) < 1e-3 and len(s.points) < 200 for s in seeds)
+
+
+def test_empty_cluster_moves(spark):
+    from tessera.operators import sweep as W
+
+    x = np.array([[0.0], [0.1], [5.0], [5.1], [9.0], [9.1]])
+    far = W.KMeansModel(k=3, centers=np.array([[0.0], [5.0], [1000.0]]))
+    done = W.lloyd(vec_frame(spark, x), {0: far}, 1, 1e-9, 50)
+    assert sorted(np.round(done[0].centers[:, 0], 2).tolist()) == [0.05, 5.05, 9.05]

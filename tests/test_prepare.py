@@ -78,3 +78,10 @@ def test_nan_is_missing(spark):
     df = spark.createDataFrame([(float("nan"),), (1.0,)], "a double")
     out = P.cast_features(df, MUSIC.__class__(features=("a",), logit=(), log=())).collect()
     assert out[0]["a"] is None
+
+
+def test_infinite_cells_are_rejected(spark):
+    frame = beta_features()
+    frame.loc[3, "energy"] = float("inf")
+    with pytest.raises(ValueError, match="infinite values.*energy"):
+        P.prepare_matrix(spark.createDataFrame(frame))

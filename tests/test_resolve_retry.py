@@ -65,3 +65,17 @@ def test_remote_lookup_failed_batch_becomes_misses(spark):
     got = sorted(r["id"] for r in out.collect())
     # batches: [0,1,2] [3,4,5] [6,7,8] [9] -> the second one is lost
     assert got == ["id0", "id1", "id2", "id6", "id7", "id8", "id9"]
+
+
+@pytest.mark.parametrize("status", [500, 501, 507, 599])
+def test_every_server_error_is_retried(status):
+    fn = Flaky(1, status=status)
+    assert RetryPolicy().call(fn, sleep=lambda s: None) == "ok"
+
+
+def test_faults_of_the_caller_go_up(spark):
+    def fetch(batch):
+        raise KeyError("a bug")
+
+    with pytest.raises(Exception, match="a bug"):
+        remote_lookup(spark.createDataFrame([("x",)], "id string"), fetch, "id string", sleep=lambda s: None).collect()

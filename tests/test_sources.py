@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.text import id_from_href
 from tessera.sources.content import explode_content
-from tessera.sources.delimited import TrackLibrary, preview
+from tessera.sources.delimited import TrackLibrary, preview, read_rejects
 
 HEADER = ["Track URI", "Track Name", "Artist Name(s)", "Album Name"]
 
@@ -81,3 +81,15 @@ def test_content_rows(spark):
     ], "k int, body string")
     out = explode_content(df, "body", item, ["k"]).collect()
     assert sorted((r["k"], r["id"]) for r in out) == [(1, "a"), (1, "b")]
+
+
+def test_line_breaks_rejects_and_print_all(spark, tmp_path):
+    p = tmp_path / "list.csv"
+    p.write_text('Track URI;Track Name;Artist Name(s)\nspotify:track:a;"two\nlines";A\nspotify:track:b;x;B;too many\nspotify:track:c;"He said ""hi""";C\n', encoding="utf-8")
+    lib = TrackLibrary.load(spark, str(p), strict=False)
+    assert {r["title"] for r in lib.dataframe.collect()} == {"two\nlines", 'He said "hi"'}
+    assert len(lib) == 2 and "2 tracks" in repr(lib)
+    assert [r.rejected for r in read_rejects(spark, str(p)).collect()] == ["spotify:track:b;x;B;too many"]
+    assert lib.preview(None).count() == 2
+    with pytest.raises(Exception):  # noqa: B017 -- strict loads stop at a malformed row
+        TrackLibrary.load(spark, str(p))
