@@ -10,8 +10,8 @@ of the line, characters of the segment). t edits leave one segment whole, so a
 line of length l finds its partners of length l - t .. l by looking up, for each of
 these lengths and each segment, those of its substrings that start where the
 segment could have moved to when its side edits are counted (multi-match-aware
-selection). A lookup also compares counts of frequent letters, which t edits
-change by 2t at most. Pairs that meet are verified by a banded bit-parallel
+selection). A lookup also compares counts of letters (modulo 4, in groups), which t
+edits change by 2t steps at most. Pairs that meet are verified by a banded bit-parallel
 edit distance: the rows of a band around the diagonal are bits of a long, and a
 fold over the characters advances all of them at once.
 
@@ -36,7 +36,9 @@ from tessera.session import cut_lineage
 
 MAX_EDITS = 2
 MIN_CHARS = 24
-LETTERS = "entaiors"
+#: Groups of letters whose counts travel with a filed segment: 2 bits each under a 40-bit key.
+LETTERS = ("ek", "tj", "ax", "og", "iz", "nb", "sc", "rf", "hm", "lu", "dpq", "vwy")
+KEY_BITS = 40
 
 
 def _lines(docs: DataFrame, salt: int) -> DataFrame:
@@ -57,15 +59,20 @@ def _filed(i: int, n: Column, start: Column, size: Column) -> Column:
 
 
 def _letters() -> Column:
-    """Counts of frequent letters, eight bits each."""
-    counts = [F.length("line") - F.length(F.translate("line", c, "")) for c in LETTERS]
-    return reduce(Column.bitwiseOR, [F.shiftleft((c % 256).cast("bigint"), 8 * k) for k, c in enumerate(counts)])
+    """Counts of groups of letters modulo 4, two bits each; each edit changes two counts at most."""
+
+    def count(group):
+        return reduce(Column.__add__, [F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(c), F.lit(""))) for c in group])
+
+    return reduce(Column.bitwiseOR, [F.shiftleft((count(g) % 4).cast("bigint"), 2 * k) for k, g in enumerate(LETTERS)])
 
 
 def _letters_apart(a: Column, b: Column) -> Column:
+    """At most this many unit changes of the counts, by their remainders."""
+
     def one(k):
-        d = F.abs(F.shiftrightunsigned(a, 8 * k).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(b, 8 * k).bitwiseAND(F.lit(255)))
-        return F.least(d, 256 - d)
+        d = F.abs(F.shiftrightunsigned(a, 2 * k).bitwiseAND(F.lit(3)) - F.shiftrightunsigned(b, 2 * k).bitwiseAND(F.lit(3)))
+        return F.least(d, 4 - d)
 
     return reduce(Column.__add__, [one(k) for k in range(len(LETTERS))])
 
@@ -83,9 +90,16 @@ def candidates(lines: DataFrame, edits: int) -> DataFrame:
             for shift in range(max(-(i - 1), less - (edits + 1 - i)), min(i - 1, less + (edits + 1 - i)) + 1):
                 inside = (start + shift >= 1) & (start + shift + size - 1 <= n)
                 probes.append(F.when(inside, _filed(i, n - less, start + shift, size)))
-    left = base.select(F.col("id").alias("a"), F.col("letters").alias("la"), F.explode(F.array(*segments)).alias("key"))
-    right = base.select(F.col("id").alias("b"), F.col("letters").alias("lb"), F.explode(F.array_compact(F.array(*probes))).alias("key"))
-    met = left.join(right, (left["key"] == right["key"]) & (left["a"] != right["b"]) & (_letters_apart(F.col("la"), F.col("lb")) <= 2 * edits))
+    # key and letters in one long: a shuffled row is two longs
+    low = 64 - KEY_BITS
+
+    def filed(name, keys, row):
+        words = F.transform(keys, lambda k: F.shiftleft(k, low).bitwiseOR(F.col("letters")))
+        return base.select(F.col("id").alias(name), F.explode(words).alias(row))
+
+    left, right = filed("a", F.array(*segments), "x"), filed("b", F.array_compact(F.array(*probes)), "y")
+    same = F.shiftrightunsigned("x", low) == F.shiftrightunsigned("y", low)
+    met = left.join(right, same & (F.col("a") != F.col("b")) & (_letters_apart(F.col("x"), F.col("y")) <= 2 * edits))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -159,7 +173,7 @@ def classes(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS,
     """Per line: doc_id, line_no, n_copies (equal lines, itself included), n_links (other
     distinct lines linked), first_doc_id and first_line_no (first place of any line of
     its component), kept (it stands there)."""
-    slim = _lines(docs, salt).select("doc_id", "line_no", "id", F.xxhash64("line", F.lit(salt + 1)).alias("h"))
+    slim = _lines(docs, salt).select("doc_id", "line_no", "id", F.hash("line", F.lit(salt + 1)).alias("h"))
     place = F.struct("doc_id", "line_no")
     per = slim.groupBy("id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n_copies"), (F.min("h") != F.max("h")).alias("clash"))
     per = cut_lineage(per)
