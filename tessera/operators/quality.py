@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.pairs import DEFAULT_BLOCK_ROWS, cluster_distance_sums
-from tessera.spec import UNCLASSIFIED_LABEL
 
 #: Largest centroid table (k * d values) that is broadcast to the rows.
 MAX_BROADCAST_CELLS = 5_000_000
@@ -266,5 +265,3 @@ def ari(labels_a: DataFrame, labels_b: DataFrame) -> float:
     )
     return float(adjusted_rand_index(p).first()[0])
 
-
-UNCLASSIFIED = UNCLASSIFIED_LABEL

@@ -11,7 +11,7 @@ from tessera.operators import postprocess as L
 from tessera.operators.pairs import knn
 from tessera.plans.catalog import embedding_vectors
 from tessera.plans.q_post import FEATS, _ZL, labeled_matrix
-from tessera.plans.q_select import GMM_SQL, KS, _bic_icl_curves
+from tessera.plans.q_select import GMM_SQL, _bic_icl_curves
 from tessera.plans.registry import register
 
 KNN_M = 15
@@ -116,5 +116,3 @@ def curve_frame(spark, sf_dir):
     rows = [("bic", k, b) for k, b, _ in _bic_icl_curves(spark, sf_dir)]
     return spark.createDataFrame(rows, "metric string, k int, value double").select("metric", "k", round6("value").alias("value"))
 
-
-_ = KS
