@@ -122,3 +122,20 @@ def rename_table(spark, sf_dir):
     t = _tracks(spark, sf_dir)
     desc = t.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.first("cluster_summary").alias("cluster_summary"))
     return E.rename_table(desc)
+
+
+@register(
+    "name_faults",
+    "WITH c AS (SELECT n_nationkey AS cluster, CASE WHEN n_nationkey % 6 = 0 THEN r_name || '/' WHEN n_nationkey % 6 = 1 THEN r_name ELSE n_name END AS name "
+    "FROM nation JOIN region ON r_regionkey = n_regionkey) "
+    "SELECT 'unsafe' AS problem, [cluster] AS clusters, name FROM c WHERE name LIKE '%/%' "
+    "UNION ALL SELECT 'not unique', list(cluster ORDER BY cluster), name FROM c GROUP BY name HAVING COUNT(*) > 1",
+)
+def name_faults(spark, sf_dir):
+    """E3 through ``problems_frame``: nations as clusters; a sixth has an unsafe name, a sixth its region's, which several share."""
+    n = table(spark, sf_dir, "nation")
+    r = table(spark, sf_dir, "region")
+    k = F.col("n_nationkey") % 6
+    name = F.when(k == 0, F.concat("r_name", F.lit("/"))).when(k == 1, F.col("r_name")).otherwise(F.col("n_name"))
+    named = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").alias("cluster"), name.alias("name"))
+    return E.problems_frame(named)

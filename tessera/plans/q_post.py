@@ -214,3 +214,26 @@ def posterior_reorder(spark, sf_dir):
     out = post.select("row_id", L.reorder_posterior(F.col("posterior"), order).alias("posterior"))
     return out.select("row_id", F.transform("posterior", lambda p: F.round(p, 6) + F.lit(0.0)).alias("posterior"))
 
+
+
+@register(
+    "cluster_warnings",
+    "WITH c AS (SELECT CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE -1 END AS cluster FROM orders), "
+    "s AS (SELECT cluster, COUNT(*) AS size FROM c GROUP BY 1) "
+    "SELECT 'dominant' AS kind, cluster FROM s WHERE cluster >= 0 AND size * 1.0 / (SELECT COUNT(*) FROM c) > 0.3 "
+    "UNION ALL SELECT 'unstable', NULL",
+)
+def cluster_warnings(spark, sf_dir):
+    """L4 and L6 through ``warnings_frame``: orders by status, limit 0.3, an ARI below the threshold."""
+    o = table(spark, sf_dir, "orders")
+    cluster = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(-1)
+    sizes = o.groupBy(cluster.alias("cluster")).agg(F.count(F.lit(1)).alias("size"))
+    return L.warnings_frame(sizes, 0.3, 5, 0.2).select("kind", "cluster")
+
+
+@register("unclassified_warning", "SELECT 'unclassified' AS kind, -1 AS cluster, COUNT(*) || ' rows' AS rows_text FROM orders")
+def unclassified_warning(spark, sf_dir):
+    """L5 through ``warnings_frame``: every row of orders in the bucket -1; the other warnings stay away."""
+    sizes = table(spark, sf_dir, "orders").groupBy(F.lit(-1).alias("cluster")).agg(F.count(F.lit(1)).alias("size"))
+    w = L.warnings_frame(sizes, 0.3, 5, 0.2)
+    return w.select("kind", "cluster", F.regexp_extract("text", r"All (\d+ rows)", 1).alias("rows_text"))

@@ -8,8 +8,9 @@ from pyspark.sql import types as T
 from tessera.functions.text import id_from_href, remove_prefix, sql_whitespace_literal, strip_ws
 from tessera.plans.registry import register
 from tessera.sources.content import explode_content
-from tessera.sources.delimited import preview
+from tessera.sources.delimited import clean_tracks, preview
 from tessera.sources.tables import table
+from tessera.spec import SRC_ARTIST_NAME, SRC_TRACK_NAME, SRC_TRACK_URI, TRACK_URI_PREFIX
 
 WS = sql_whitespace_literal()
 HTTPS = "https://"
@@ -92,3 +93,36 @@ def json_content_rows(spark, sf_dir):
 def json_field_rows(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     return ev.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@register(
+    "clean_track_rows",
+    "SELECT source AS title, lang AS artist, CAST(doc_id AS VARCHAR) AS spotify_id FROM documents WHERE doc_id % 5 <> 0",
+)
+def clean_track_rows(spark, sf_dir):
+    """S3-S6 through ``clean_tracks``: names with edge spaces, ids with the prefix.
+
+    One row in five has a blank id (half of them the bare prefix) and is dropped.
+    """
+    d = table(spark, sf_dir, "documents")
+    uri = F.when(F.col("doc_id") % 10 == 0, F.lit("  ")).when(F.col("doc_id") % 5 == 0, F.lit(TRACK_URI_PREFIX))
+    raw = d.select(
+        F.concat(F.lit(" \t"), "source", F.lit(" ")).alias(SRC_TRACK_NAME),
+        F.concat(F.lit("\n"), "lang", F.lit(" ")).alias(SRC_ARTIST_NAME),
+        uri.otherwise(F.concat(F.lit(" "), F.lit(TRACK_URI_PREFIX), F.col("doc_id").cast("string"), F.lit(" "))).alias(SRC_TRACK_URI),
+    )
+    return clean_tracks(raw)
+
+
+@register(
+    "json_body_items",
+    "SELECT page_id, k AS part, page_id || '-' || k AS id, url || '/' || k AS href FROM pages, range(1, 4) r(k) WHERE page_id % 4 <> 0",
+)
+def json_body_items(spark, sf_dir):
+    """S10 on bodies made from ``pages``: three items each; one body in four has no list and gives no rows."""
+    p = table(spark, sf_dir, "pages")
+    items = F.array(*[F.struct(F.concat_ws("-", "page_id", F.lit(k)).alias("id"), F.concat(F.col("url"), F.lit(f"/{k}")).alias("href")) for k in (1, 2, 3)])
+    odd = F.when(F.col("page_id") % 8 == 0, F.lit('{"content": {"id": 1}}')).otherwise(F.lit("not json"))
+    body = F.when(F.col("page_id") % 4 == 0, odd).otherwise(F.to_json(F.struct(items.alias("content"))))
+    rows = explode_content(p.select("page_id", body.alias("body")), "body", ITEM, ["page_id"])
+    return rows.select("page_id", F.element_at(F.split("id", "-"), -1).cast("bigint").alias("part"), "id", "href")
