@@ -49,7 +49,7 @@ from tessera.session import cut_lineage
 LENGTH = 200
 GRAM = 32
 BATCHES = 4
-CROWD = 512
+CROWD = 4096
 SLICE_BYTES = 1 << 20
 _MUL = 0x9E3779B97F4A7C15
 _WEIGHTS = np.random.default_rng(12).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -172,20 +172,17 @@ def _signed(a: np.ndarray) -> pa.Array:
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sampled suffixes of a batch of documents, one row per anchor."""
+    """Sampled suffixes of documents, one row per anchor and Arrow batch."""
     for b in batches:
-        group = b.column("batch").to_numpy()
-        texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
-        for g in np.unique(group):
-            r = runs([t for t, x in zip(texts, group) if x == g])
-            order = np.argsort(r["key"], kind="stable")
-            key, cls, own = r["key"][order], r["cls"][order].view(np.int64), r["own"][order]
-            if not len(key):
-                continue
-            at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            n = np.diff(np.concatenate((at, [len(key)])))
-            cols = [pa.array(np.full(len(at), g, np.int32)), _signed(key[at]), pa.array(n), pa.array(np.minimum.reduceat(cls, at)), pa.array(np.maximum.reduceat(cls, at)), pa.array(np.logical_or.reduceat(own, at))]
-            yield pa.RecordBatch.from_arrays(cols, ["batch", "key", "n", "c0", "c1", "own"])
+        r = runs([t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()])
+        order = np.argsort(r["key"], kind="stable")
+        key, cls, own = r["key"][order], r["cls"][order].view(np.int64), r["own"][order]
+        if not len(key):
+            continue
+        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        n = np.diff(np.concatenate((at, [len(key)])))
+        cols = [_signed(key[at]), pa.array(n), pa.array(np.minimum.reduceat(cls, at)), pa.array(np.maximum.reduceat(cls, at)), pa.array(np.logical_or.reduceat(own, at))]
+        yield pa.RecordBatch.from_arrays(cols, ["key", "n", "c0", "c1", "own"])
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,15 +370,12 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES, crowd: int = CROWD)
     d = _prepared(docs)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     family = Family(spark, buckets)
-    entries = f"suffix_entries_{uuid.uuid4().hex}"
     try:
-        split = d.select(F.pmod(F.xxhash64("doc_id", "th"), F.lit(batches)).cast("int").alias("batch"), "text")
-        split.mapInArrow(_entries, "batch int, key bigint, n bigint, c0 bigint, c1 bigint, own boolean").write.partitionBy("batch").saveAsTable(entries)
         for i in range(batches):
-            family.add(spark.table(entries).where(F.col("batch") == i).drop("batch"))
+            batch = d.where(F.pmod(F.xxhash64("doc_id", "th"), F.lit(batches)) == i).select("text")
+            family.add(batch.mapInArrow(_entries, "key bigint, n bigint, c0 bigint, c1 bigint, own boolean"))
         known = family.repeated()
     finally:
-        spark.sql(f"DROP TABLE IF EXISTS {entries}")
         family.close()
     occ = d.mapInArrow(_occurrences, "doc_id bigint, th bigint, lo bigint, hi bigint, key bigint, cls bigint")
     met = cut_lineage(occ.join(known, "key"))
@@ -393,14 +387,19 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES, crowd: int = CROWD)
     whole = several.join(classes.where("n > 1").select("key", "cls"), ["key", "cls"], "left_semi")
     reps = classes.join(crowds, "key", "left").select("key", "n", F.coalesce("crowd", F.lit(False)).alias("crowd"), "rep.*")
     lists = reps.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "n", "crowd", "lo", "hi")).alias("reps"))
-    texts = _beside(d, lists, "inner").select("doc_id", "th", "text", "reps").dropDuplicates(["doc_id", "th"])
-    cut = cut_lineage(texts.mapInArrow(_cut, "key bigint, n bigint, crowd boolean, lo bigint, run binary, doc_id bigint, th bigint"))
+    # not cut off here: this exchange of the texts is the one that the caller's join reuses. A row
+    # that repeats doc_id and text is cut twice; its runs have n > 1 then, and serve as partners only
+    texts = _beside(d, lists, "inner").select("doc_id", "th", "text", "reps")
+    cut = texts.mapInArrow(_cut, "key bigint, n bigint, crowd boolean, lo bigint, run binary, doc_id bigint, th bigint")
     few = cut.where("NOT crowd").drop("crowd").repartition("key").sortWithinPartitions("key")
     settled = few.mapInArrow(_settle, "doc_id bigint, th bigint, lo bigint, hi bigint")
+    spans = met.where("NOT several").select(*span).union(whole.select(*span)).union(settled)
+    if crowds.isEmpty():
+        return spans
     single = cut.where("crowd").drop("crowd").mapInArrow(_one_by_one, "key bigint, n bigint, doc_id bigint, th bigint, lo bigint, print bigint")
     again = single.groupBy("key", "print").count().where(F.col("count") > 1).select("key", "print")
     spread = single.where("n = 1").join(again, ["key", "print"], "left_semi").select(*span[:3], (F.col("lo") + LENGTH).alias("hi"))
-    return met.where("NOT several").select(*span).union(whole.select(*span)).union(settled).union(spread)
+    return spans.union(spread)
 
 
 def remove_repeats(docs: DataFrame, batches: int = BATCHES, crowd: int = CROWD) -> DataFrame:
