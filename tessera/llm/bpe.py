@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,11 +42,11 @@ from pyspark.sql import functions as F
 
 FOLD_BYTES = 256
 SAMPLE_DOCS = 30_000
-CACHED_WORDS = 500_000
+CACHED_WORDS = 400_000
 #: Characters of text in a block of documents.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 3_000_000
 #: Chunks a worker remembers.
-MEMO = 250_000
+MEMO = 150_000
 #: Rank of a pair that is no token; ids and ranks have ``BITS`` bits.
 BITS = 20
 NONE = 1 << 30
@@ -110,11 +111,13 @@ class RankMap:
         both = (keys << BITS) | np.array([pairs[k] for k in keys.tolist()], np.int64)
         table = np.where(place >= 0, both[place], -1)
         single = [ranks[bytes([b])] for b in range(256)]
+        # elements of all pairs of bytes, so that a fold starts without hashing
+        two = [(pairs.get((a << BITS) | b, NONE) << BITS) | a for a in single for b in single]
 
         def literal(values, kind):
             return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
-        self.literal = literal(shift.tolist(), "int").alias("shift"), literal(table.tolist(), "bigint").alias("table"), literal(single, "bigint").alias("single")
+        self.literal = literal(shift.tolist(), "int").alias("shift"), literal(table.tolist(), "bigint").alias("table"), literal(single, "bigint").alias("single"), literal(two, "bigint").alias("two")
 
     def bound(self, use) -> Column:
         """``use(m)`` with the literal bound to m, so that the plan holds it once."""
@@ -142,10 +145,10 @@ class RankMap:
         def ident(e):
             return e.bitwiseAND(low)
 
-        def first(ids):
-            return F.transform(ids, lambda a, i: F.when(i + 1 < F.size(ids), self.element(m, a, F.get(ids, i + 1))).otherwise(self.alone(a)))
+        def first(b, i):
+            return F.when(i + 1 < F.size(word), F.get(m["two"], F.shiftleft(b, 8) + F.get(word, i + 1))).otherwise(self.alone(F.get(m["single"], b)))
 
-        start = let(F.transform(word, lambda b: F.get(m["single"], b)), first)
+        start = F.transform(word, first)
 
         def step(acc, _):  # equal elements are equal pairs, so the first of the least ones is the leftmost
             return let(F.array_min(acc), lambda e: F.when(e < F.lit(NONE << BITS), merge(acc, F.shiftright(e, BITS), F.array_position(acc, e).cast("int"))).otherwise(acc))
@@ -193,6 +196,10 @@ def heap_encode(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 # --- texts to words and back ------------------------------------------------
 
 
+#: A placeholder's bytes.
+_GAP = struct.Struct("=i").pack
+
+
 class Odd(Exception):
     """A chunk that cannot be cut by itself."""
 
@@ -211,18 +218,20 @@ class Chunks(dict):
         self.lack: dict[str, int] = {}
         self.passing: list[str] = []
 
-    def word(self, w: str) -> bytes:
-        got = self.known.get(w)
-        if got is None:
-            got = np.int32(-1 - self.lack.setdefault(w, len(self.lack))).tobytes()
-        return got
+    def words(self, words: list[str]) -> tuple[bytes, bool]:
+        """Ids of words, and whether all are known."""
+        parts, lack = list(map(self.known.get, words)), self.lack
+        if None not in parts:
+            return b"".join(parts), True
+        for i, p in enumerate(parts):
+            if p is None:
+                parts[i] = _GAP(-1 - lack.setdefault(words[i], len(lack)))
+        return b"".join(parts), False
 
     def __missing__(self, chunk: str) -> bytes:
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             raise Odd
-        words = self.find(" " + chunk)
-        known = all(w in self.known for w in words)
-        got = b"".join(map(self.word, words))
+        got, known = self.words(self.find(" " + chunk))
         self[chunk] = got
         if not known or len(self) > MEMO:
             self.passing.append(chunk)
@@ -233,9 +242,9 @@ class Chunks(dict):
         try:
             if first[-1:].isspace():
                 raise Odd
-            return b"".join(map(self.word, self.find(first))) + b"".join(map(self.__getitem__, rest))
+            return self.words(self.find(first))[0] + b"".join(map(self.__getitem__, rest))
         except Odd:
-            return b"".join(map(self.word, self.find(text)))
+            return self.words(self.find(text))[0]
 
     def end_block(self) -> list[str]:
         words = list(self.lack)
@@ -294,7 +303,7 @@ def frequent_words(docs: DataFrame, ranks: RankMap, pattern: str, sample_docs: i
 
 
 def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None, sample_docs: int = SAMPLE_DOCS, cached_words: int = CACHED_WORDS) -> DataFrame:
-    """Per row: doc_id, ids (decimal, joined by spaces), decoded (binary)."""
+    """Per row: doc_id, n_tokens, ids (decimal, joined by spaces), decoded (binary)."""
     spark = docs.sparkSession
     pattern = pattern or default_pattern()
     tokens = load_ranks(path)
@@ -305,21 +314,26 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
 
     def block(batches: Iterator[pa.RecordBatch]):
         chunks = Chunks(known.value, pattern)
+        ids, out, chars = [], [], 0
+
+        def block_row():
+            words = [w.encode() for w in chunks.end_block()]
+            # long words are marked by an empty array and merged behind the fold
+            raw = [list(w) if len(w) <= FOLD_BYTES else [] for w in words]
+            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((ids, out, words, raw), kinds)], ["doc_ids", "packed", "words", "raw"])
+
         for b in batches:
-            ids, texts = b.column("doc_id"), b.column("text").to_pylist()
-            lo = 0
-            while lo < len(texts):
-                hi, chars, out = lo, 0, []
-                while hi < len(texts) and (hi == lo or chars + len(texts[hi]) <= BLOCK_CHARS):
-                    chars += len(texts[hi])
-                    out.append(chunks.text(texts[hi]))
-                    hi += 1
-                words = [w.encode() for w in chunks.end_block()]
-                # long words are marked by an empty array and merged behind the fold
-                raw = [list(w) if len(w) <= FOLD_BYTES else [] for w in words]
-                cols = [ids.slice(lo, hi - lo).to_pylist(), out, words, raw]
-                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cols, kinds)], ["doc_ids", "packed", "words", "raw"])
-                lo = hi
+            for lo in range(0, b.num_rows, 200):  # few texts at a time as Python strings
+                part = b.slice(lo, 200)
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                    if out and chars + len(text) > BLOCK_CHARS:
+                        yield block_row()
+                        ids, out, chars = [], [], 0
+                    ids.append(doc_id)
+                    out.append(chunks.text(text))
+                    chars += len(text)
+        if out:
+            yield block_row()
 
     def finish(batches: Iterator[pa.RecordBatch]):
         pieces = vocabulary.value
@@ -335,16 +349,16 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
                 full = [fill(p, folded) for p in packed]
                 joined = [" ".join(map(names.__getitem__, x)) for x in full]
                 decoded = [b"".join(map(pieces.__getitem__, x)) for x in full]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(joined, pa.string()), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
+                cols = [pa.array(doc_ids, pa.int64()), pa.array(list(map(len, full)), pa.int64()), pa.array(joined, pa.string()), pa.array(decoded, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids", "decoded"])
 
     kinds = pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.list_(pa.int32()))
     blocks = docs.mapInArrow(block, "doc_ids array<bigint>, packed array<binary>, words array<binary>, raw array<array<int>>")
     blocks = blocks.select("doc_ids", "packed", "words", ranks.encode_all(F.col("raw")).alias("ids"))
-    return blocks.mapInArrow(finish, "doc_id bigint, ids string, decoded binary")
+    return blocks.mapInArrow(finish, "doc_id bigint, n_tokens bigint, ids string, decoded binary")
 
 
 def encode_digests(docs: DataFrame, **options) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     e = encoded(docs, **options)
-    n = F.when(F.octet_length("ids") > 0, F.octet_length("ids") - F.octet_length(F.translate("ids", " ", "")) + 1).otherwise(0)
-    return e.select("doc_id", n.cast("bigint").alias("n_tokens"), F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return e.select("doc_id", "n_tokens", F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
