@@ -56,7 +56,7 @@ SPAN = 32
 TRAIN_TOXIC = 1_000
 TRAIN_CLEAN = 2_000
 TRAIN_CHARS = 20_000
-MEMO = 500_000
+MEMO = 800_000
 SLICE_CHARS = 2_000_000
 ROUNDS = 6
 SEED = 7
@@ -278,15 +278,18 @@ def train(bags: list[tuple[int, list[str]]], features) -> Machine | None:
 
 class Scorer:
     def __init__(self, machine: Machine):
-        self.m, self.memo = machine, {}
+        # values of chunks: those met lately, and those met before that
+        self.m, self.memo, self.older = machine, {}, {}
 
     def worst(self, texts: list[str]) -> np.ndarray:
         """Highest decision value over all words of each text."""
         split = [t.split() for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo = {}
-        memo = self.memo
+        if len(self.memo) > MEMO // 2:
+            self.memo, self.older = {}, self.memo
+        memo, older = self.memo, self.older
         new = [c for c in set(itertools.chain.from_iterable(split)) if c not in memo]
+        memo.update((c, older[c]) for c in new if c in older)
+        new = [c for c in new if c not in older]
         if new:
             words = [chunk_words(c) for c in new]
             distinct = list(dict.fromkeys(itertools.chain.from_iterable(words)))
@@ -336,7 +339,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine | None:
                 out.append(list(ws))
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(out, pa.list_(pa.string()))], ["toxic", "words"])
 
-    sample = short.join(chosen, short["doc_id"] == chosen["_id"]).select("toxic", "text")
+    # ``chosen`` has about TRAIN_TOXIC + TRAIN_CLEAN rows however many labels there are
+    sample = short.join(F.broadcast(chosen), short["doc_id"] == chosen["_id"]).select("toxic", "text")
     got = sample.mapInArrow(bag, "toxic int, words array<string>").toArrow()
     bags = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist()))
 
