@@ -215,6 +215,7 @@ class Chunks(dict):
     def __init__(self, known: dict[str, bytes], pattern: str):
         super().__init__()
         self.known, self.find = known, regex.compile(pattern).findall
+        self.plain = pattern == default_pattern()  # whose words of letters alone need no search
         self.lack: dict[str, int] = {}
         self.passing: list[str] = []
 
@@ -231,7 +232,13 @@ class Chunks(dict):
     def __missing__(self, chunk: str) -> bytes:
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             raise Odd
-        got, known = self.words(self.find(" " + chunk))
+        if self.plain and chunk.isalpha():
+            words = [" " + chunk]
+        elif self.plain and chunk[-1] in ".," and chunk[:-1].isalpha():
+            words = [" " + chunk[:-1], chunk[-1]]
+        else:
+            words = self.find(" " + chunk)
+        got, known = self.words(words)
         self[chunk] = got
         if not known or len(self) > MEMO:
             self.passing.append(chunk)
