@@ -30,6 +30,7 @@ from __future__ import annotations
 import base64
 import heapq
 import struct
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -279,8 +280,8 @@ def _packed(ids) -> bytes:
     return np.asarray(ids, np.int32).tobytes()
 
 
-def frequent_words(docs: DataFrame, ranks: RankMap, pattern: str, sample_docs: int, n_words: int) -> dict[str, bytes]:
-    """The most frequent words of a sample of documents, encoded; at most ``n_words`` entries."""
+def frequent_words(docs: DataFrame, ranks: RankMap, pattern: str, sample_docs: int, n_words: int) -> bytes:
+    """The most frequent words of a sample of documents, encoded; at most ``n_words`` entries of an Arrow stream."""
 
     def cut(batches: Iterator[pa.RecordBatch]):
         find = regex.compile(pattern).findall
@@ -303,10 +304,28 @@ def frequent_words(docs: DataFrame, ranks: RankMap, pattern: str, sample_docs: i
     cores = docs.sparkSession.sparkContext.defaultParallelism
     packed = top.repartition(cores * 4, "word").mapInArrow(as_bytes, "words array<string>, raw array<array<int>>")
     got = packed.select("words", ranks.encode_all(F.col("raw")).alias("ids")).toArrow()
-    known: dict[str, bytes] = {}
-    for words, ids in zip(got.column(0), got.column(1)):
-        known.update(zip(words.as_py(), map(_packed, ids.as_py())))
-    return known
+    # stays in Arrow buffers: the driver holds some ten bytes a word, each worker makes its own dictionary
+    words, lists = (got.column(c).combine_chunks().flatten() if got.num_rows else pa.array([], t) for c, t in ((0, pa.string()), (1, pa.list_(pa.int32()))))
+    ends = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).astype(np.int32) * 4
+    bits = lists.flatten().to_numpy().astype(np.int32).tobytes()
+    ids = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(ends), pa.py_buffer(bits)])
+    sink = pa.BufferOutputStream()
+    table = pa.table({"word": words, "ids": ids})
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+_LATEST: dict[str, dict[str, bytes]] = {}
+
+
+def dictionary(name: str, data: bytes) -> dict[str, bytes]:
+    """The words of ``frequent_words`` as a dictionary; a worker keeps the latest one."""
+    if name not in _LATEST:
+        t = pa.ipc.open_stream(data).read_all()
+        _LATEST.clear()
+        _LATEST[name] = dict(zip(t.column("word").to_pylist(), t.column("ids").to_pylist()))
+    return _LATEST[name]
 
 
 def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None, sample_docs: int = SAMPLE_DOCS, cached_words: int = CACHED_WORDS) -> DataFrame:
@@ -317,10 +336,11 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
     ranks = RankMap(spark, tokens)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = spark.sparkContext.broadcast(frequent_words(docs, ranks, pattern, sample_docs, cached_words))
+    name = uuid.uuid4().hex
     vocabulary = spark.sparkContext.broadcast(sorted(tokens, key=tokens.get))
 
     def block(batches: Iterator[pa.RecordBatch]):
-        chunks = Chunks(known.value, pattern)
+        chunks = Chunks(dictionary(name, known.value), pattern)
         ids, out, chars = [], [], 0
 
         def block_row():
