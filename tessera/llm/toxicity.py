@@ -3,7 +3,9 @@
 A text is read as sentences, a sentence as its words: white-space chunks in lower
 case without the marks at their ends, runs of single letters joined ("i d i o t"),
 and once more without inner marks ("i.d.i-o.t"); chunks longer than ``SPAN``
-characters as overlapping stretches. Two words are compared by the normalised
+characters as overlapping stretches. Chunks of at most ``PIECE`` letters are joined
+across white space and marks as well ("i, d - i o t", "id io t"): from each of them
+on, stretches of up to ``STRETCHES`` characters are read as words. Two words are compared by the normalised
 subsequence string kernel of order ``ORDER`` with decay ``DECAY``: all common
 subsequences of that length count, less the more they are stretched, so gapped
 words and words with inserted characters stay close to the plain one.
@@ -15,8 +17,11 @@ linear (squared hinge, solved by Newton steps).
 Labels are given for documents. Training is multiple-instance: a sentence of a
 toxic document is as toxic as its worst word, and which words of toxic documents
 are meant is re-chosen after each fit (the worst of each document, and others
-above the margin that clean documents lack); the words of clean documents that
-come nearest the margin are added as negatives. Found words are also learned with
+above the margin, among those that lean to toxic documents); the other words that
+come nearest the margin are added as negatives. A word leans if no clean document
+has it or if its share of toxic documents is ``LEAN`` times its share of clean ones,
+so an insult that a clean document quotes is still learned; words of which one clean
+document holds many belong to its subject or language and do not lean. Found words are also learned with
 characters inserted. A document's score is a logistic function, fitted on the
 training documents, of its worst word's decision value.
 
@@ -35,6 +40,7 @@ doc_id and toxic.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 import re
@@ -53,6 +59,10 @@ ORDER = 3
 DECAY = 0.6
 LANDMARKS = 48
 SPAN = 32
+PIECE = 3
+STRETCHES = (6, 12)
+LEAN = 8.0
+ALPHABET = 128
 TRAIN_TOXIC = 1_000
 TRAIN_CLEAN = 2_000
 TRAIN_CHARS = 20_000
@@ -96,6 +106,33 @@ def spelled(chunks: list[str]) -> list[str]:
     return out
 
 
+@functools.lru_cache(maxsize=200_000)
+def piece(chunk: str) -> str | None:
+    """The letters of a short chunk, empty if it has marks only; None if it is longer."""
+    bare = _INNER.sub("", chunk.lower())
+    return bare if len(bare) <= PIECE else None
+
+
+def broken(chunks: list[str]) -> list[str]:
+    """Words over gaps: neighbouring short chunks joined, marks between them passed over."""
+    out, run = {}, []
+    for p in itertools.chain((None if len(c) > PIECE and c.isalnum() else piece(c) for c in chunks), (None,)):
+        if p:
+            run.append(p)
+        elif p is None:
+            for i in range(len(run) - 1):
+                for most in STRETCHES:
+                    joined = run[i]
+                    for q in run[i + 1 : i + most]:
+                        if len(joined) + len(q) > most:
+                            break
+                        joined += q
+                    if len(joined) > len(run[i]) and len(joined) >= ORDER:
+                        out[joined] = None
+            run = []
+    return list(out)
+
+
 def _codes(words: list[str], length: int) -> np.ndarray:
     return np.frombuffer("".join(words).encode("utf-32-le", "replace"), np.uint32).reshape(len(words), length)
 
@@ -119,6 +156,13 @@ def _raw(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return ends.reshape(b, lu, m, lv).sum((1, 3))
 
 
+@functools.lru_cache(maxsize=SPAN)
+def _triples(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all subsequences of three characters of a word of n, and their decay."""
+    at = np.array(list(itertools.combinations(range(n), ORDER))).T
+    return at, (DECAY ** (at[-1] - at[0] + 1)).astype(np.float32)
+
+
 def _own(u: np.ndarray) -> np.ndarray:
     same = (u[:, :, None] == u[:, None, :]).astype(np.float32) * np.float32(DECAY * DECAY)
     ends, s = same, _steps(u.shape[1])
@@ -155,8 +199,39 @@ class Machine:
     slope: float = 4.0
     offset: float = 0.0
 
+    @functools.cached_property
+    def table(self) -> tuple[np.ndarray, np.ndarray] | None:
+        """The landmarks' characters, and the machine's weight of each three of them; None where there are too many."""
+        letters = np.unique(_codes(["".join(self.landmarks)], sum(map(len, self.landmarks)))[0])
+        a = len(letters) + 1  # the last stands for all others
+        if a > ALPHABET:
+            return None
+        out = np.zeros(a**3)
+        for m, weight in zip(self.landmarks, self.weights.tolist()):
+            code = _codes([m], len(m))
+            at, decay = _triples(len(m))
+            c = np.searchsorted(letters, code[0])
+            np.add.at(out, (c[at[0]] * a + c[at[1]]) * a + c[at[2]], decay * (weight / math.sqrt(float(_own(code)[0]))))
+        return letters, out.astype(np.float32)
+
     def values(self, words: list[str]) -> np.ndarray:
-        return kernel(words, self.landmarks) @ self.weights + self.bias if words else np.zeros(0)
+        """As ``kernel(words, landmarks) @ weights + bias``, by looking up the subsequences of each word."""
+        if not words or self.table is None:
+            return kernel(words, self.landmarks) @ self.weights + self.bias if words else np.zeros(0)
+        letters, table = self.table
+        a, sizes, out = len(letters) + 1, np.array([len(w) for w in words]), np.zeros(len(words))
+        for size in np.unique(sizes):
+            rows = np.flatnonzero(sizes == size)
+            at, decay = _triples(int(size))
+            block = max(16, 400_000 // len(decay))
+            for lo in range(0, len(rows), block):
+                part = rows[lo : lo + block]
+                u = _codes([words[i] for i in part], int(size))
+                c = np.searchsorted(letters, u).clip(max=a - 2)
+                c = np.where(letters[c] == u, c, a - 1).astype(np.int32)
+                found = table[(c[:, at[0]] * a + c[:, at[1]]) * a + c[:, at[2]]]
+                out[part] = found @ decay / np.maximum(np.sqrt(_own(u)), 1e-12)
+        return out + self.bias
 
     def probability(self, value: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * value + self.offset, -50, 50)))
@@ -216,6 +291,21 @@ def signature(words: list[str]) -> tuple[int, ...]:
     return tuple(sorted(zlib.crc32(w.encode()) for w in words if len(w) >= 7)[:3])
 
 
+def leaning(words: list[str], told: dict) -> np.ndarray:
+    """Which words may be what makes documents toxic. told: distinct words by (label, signature)."""
+    n = Counter(y for y, _ in told)
+    df = {y: Counter(itertools.chain.from_iterable(ws for (label, _), ws in told.items() if label == y)) for y in (0, 1)}
+    a, b = (np.array([df[y][w] for w in words], float) for y in (1, 0))
+    ratio = (a + 0.5) / (n[1] + 1) / ((b + 0.5) / (n[0] + 1))
+    quoted = {w for w, r, x in zip(words, ratio, b) if x and r >= LEAN}
+    crowds = [held for (y, _), ws in told.items() if y == 0 and len(held := quoted.intersection(ws)) > max(3, len(ws) // 20)]
+    quoted.difference_update(*crowds)
+    out = np.array([w in quoted for w in words]) | ((b == 0) & (a > 0))
+    if not out.any() and ratio.max() > 1:
+        out = ratio == ratio.max()
+    return out
+
+
 def train(bags: list[tuple[int, list[str]]], features) -> Machine | None:
     """bags: (label, distinct words) of the sample documents. ``features(words, landmarks)`` gives their kernel."""
     n = Counter(y for y, _ in bags)
@@ -235,13 +325,13 @@ def train(bags: list[tuple[int, list[str]]], features) -> Machine | None:
     words = sorted(set(df[0]) | set(df[1]))
     at = {w: i for i, w in enumerate(words)}
     phi = features(words, marks) @ root
-    only = np.array([w not in df[0] for w in words])
+    lean = leaning(words, told)
     toxic_bags = [np.array([at[w] for w in ws], np.int64) for y, ws in bags if y == 1 and ws]
-    clean_rows = np.flatnonzero(~only)
+    clean_rows = np.flatnonzero(~lean)
     negatives = rng.choice(clean_rows, min(4000, len(clean_rows)), replace=False)
-    # first choice: words that only toxic documents have, weighted by how many of them do
+    # first choice: words that lean to toxic documents, weighted by how many of them have them
     support = np.maximum(np.array([df[1][w] for w in words], float), 1.0)
-    found = np.flatnonzero(only & (support >= (np.quantile(support[only], 0.98) if only.any() else 1.0)))
+    found = np.flatnonzero(lean & (support >= (np.quantile(support[lean], 0.98) if lean.any() else 1.0)))
     w = np.zeros(phi.shape[1] + 1)
     for step in range(ROUNDS):
         if not len(found):
@@ -256,8 +346,8 @@ def train(bags: list[tuple[int, list[str]]], features) -> Machine | None:
         f = phi @ w[:-1] + w[-1]
         # again: the worst word of each toxic document, and the clean words nearest the margin
         worst = np.unique([b[f[b].argmax()] for b in toxic_bags])
-        sure = np.flatnonzero(only & (f > 0.5) & (support > 1))
-        found = np.union1d(worst[only[worst]], sure)
+        sure = np.flatnonzero(lean & (f > 0.5) & (support > 1))
+        found = np.union1d(worst[lean[worst]], sure)
         hard = clean_rows[np.argsort(-f[clean_rows])[:2000]]
         negatives = np.union1d(negatives, hard)
     m = Machine(marks, (root @ w[:-1]).astype(np.float32), float(w[-1]))
@@ -283,7 +373,7 @@ class Scorer:
 
     def worst(self, texts: list[str]) -> np.ndarray:
         """Highest decision value over all words of each text."""
-        split = [t.split() for t in texts]
+        split = [s + spelled(s) + broken(s) for s in map(str.split, texts)]
         if len(self.memo) > MEMO // 2:
             self.memo, self.older = {}, self.memo
         memo, older = self.memo, self.older
@@ -295,11 +385,7 @@ class Scorer:
             distinct = list(dict.fromkeys(itertools.chain.from_iterable(words)))
             value = dict(zip(distinct, self.m.values(distinct).tolist()))
             memo.update((c, max((value[w] for w in ws), default=-1.0)) for c, ws in zip(new, words))
-        out = np.array([max(map(memo.__getitem__, s), default=-1.0) for s in split])
-        for i, s in enumerate(split):
-            if (apart := spelled(s)) and (apart := [w for w in apart if len(w) >= ORDER]):
-                out[i] = max(out[i], float(self.m.values(apart).max()))
-        return out
+        return np.array([max(map(memo.__getitem__, s), default=-1.0) for s in split])
 
     def slices(self, texts: list) -> np.ndarray:
         parts, lo, chars = [], 0, 0
@@ -336,6 +422,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine | None:
                     chunks = s.split()
                     ws.update(dict.fromkeys(itertools.chain.from_iterable(map(chunk_words, chunks))))
                     ws.update(dict.fromkeys(spelled(chunks)))
+                ws.update(dict.fromkeys(broken(t.split())))
                 out.append(list(ws))
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(out, pa.list_(pa.string()))], ["toxic", "words"])
 

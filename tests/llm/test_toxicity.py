@@ -77,3 +77,45 @@ def test_nothing_to_learn(spark):
     assert toxicity.scores(documents(spark, []), none).count() == 0
     out = toxicity.scores(documents(spark, [(1, "some words")]), none).collect()
     assert [(r.score, r.predicted) for r in out] == [(0.0, 0)]
+
+
+def test_broken():
+    for gapped in ("i - d - i - o - t", "i, d, i, o, t", "id io t", "idi ot", "I-D *i* ot"):
+        assert "idiot" in toxicity.broken(gapped.split())
+    assert toxicity.broken("a long sentence - of words".split()) == []
+
+
+def test_pieces_and_quoted_insults(spark):
+    rows, labels = corpus()
+    # each insult is quoted by two clean documents that are learned from: none is exclusive to toxic ones
+    learned = spark.createDataFrame([(i,) for i, _, _ in rows], "doc_id bigint").where(~toxicity.held_out()).toPandas().doc_id
+    clean = [i for i, _, y in labels if not y and i in set(learned)][:6]
+    for at, i in enumerate(clean):
+        rows[i] = (i, rows[i][1][:-1] + " " + ["gromfub", "zwackel", "pfukkit"][at % 3] + ".", "en")
+    calm = next(t for (i, t, _), x in zip(rows, labels) if not x[2] and i not in clean)
+    gapped = ["p - f - u - k - k - i - t", "p, f, u, k, k, i, t", "pf uk ki t", "zw - ac ke - l"]
+    more = [(9000 + i, calm + " " + g) for i, g in enumerate(gapped)] + [(9100, calm)]
+    given = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    by = toxicity.scores(documents(spark, rows + more), given).toPandas().set_index("doc_id")
+    held = [(i, y) for i, _, y in labels if by.loc[i, "held_out"]]
+    assert all(by.loc[i, "predicted"] == y for i, y in held)
+    assert by.loc[[9000 + i for i in range(len(gapped))], "predicted"].tolist() == [1] * len(gapped)
+    assert by.loc[9100, "predicted"] == 0
+
+
+def test_leaning():
+    told = {(1, (i,)): ["gromfub", "the", f"t{i}"] for i in range(20)}
+    told |= {(0, (i,)): ["the", f"c{i}"] + ["gromfub"] * (i == 0) for i in range(40)}
+    words = ["gromfub", "the", "t1", "c1"]
+    assert toxicity.leaning(words, told).tolist() == [True, False, True, False]
+    # all toxic documents in a rare language: the words it shares with clean documents do not lean
+    rare = [f"r{i}" for i in range(10)]
+    told = {(1, (i,)): [*rare, "gromfub"] for i in range(20)} | {(0, (i,)): rare if i < 2 else ["the"] for i in range(40)}
+    assert toxicity.leaning([*rare, "gromfub"], told).tolist() == [False] * 10 + [True]
+
+
+def test_values_by_table():
+    marks = ["idiot", "i.d.iot", "worthless", "the", "banana"]
+    m = toxicity.Machine(marks, np.array([1.0, 0.5, 2.0, -1.0, -0.3], np.float32), -0.2)
+    words = ["idiot", "xid-iotx", "zzz", "thethethe", "wörthless", "bananas" * 4, "\u4e2d\u6587\u5b57"]
+    assert np.allclose(m.values(words), toxicity.kernel(words, marks) @ m.weights + m.bias, atol=1e-4)
