@@ -138,3 +138,60 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.line_dedup import classes
 
     return classes(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_filter_audit",
+    """
+    WITH d AS (
+      SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents
+    ),
+    l AS (
+      SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id
+    ),
+    w AS (
+      SELECT *, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
+             min(doc_id) OVER (PARTITION BY t) AS first_id
+      FROM d
+    ),
+    f AS (
+      SELECT w.part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+             [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws),
+              100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t),
+              regexp_matches(t, '[#$%&*|]'), coalesce(w.doc_id > first_id, false)] AS fails
+      FROM w LEFT JOIN l ON l.doc_id = w.doc_id
+    ),
+    cells AS (
+      SELECT part, fails, count(*) AS n, sum(good)::BIGINT AS n_good, sum(toxic)::BIGINT AS n_toxic
+      FROM f GROUP BY part, fails
+    ),
+    letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+    orders AS (
+      SELECT a.c || b.c || c.c || d.c || e.c AS filter_order
+      FROM letters a, letters b, letters c, letters d, letters e
+      WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5
+    ),
+    steps AS (SELECT filter_order, unnest(range(1, 6))::INTEGER AS step FROM orders),
+    seen AS (
+      SELECT part, filter_order, step, n, n_good, n_toxic, fails,
+             ascii(filter_order[step]) - 64 AS k, fails[ascii(filter_order[step]) - 64] AS here,
+             len(list_filter(range(1, step), lambda i: fails[ascii(filter_order[i]) - 64])) > 0 AS gone
+      FROM cells, steps
+    ),
+    counts AS (
+      SELECT part, filter_order, step, any_value(k) AS k,
+             coalesce(sum(n) FILTER (NOT here AND NOT gone), 0)::BIGINT AS kept,
+             coalesce(sum(n) FILTER (here AND NOT gone), 0)::BIGINT AS removed,
+             coalesce(sum(n) FILTER (here AND gone), 0)::BIGINT AS redundant,
+             coalesce(sum(n) FILTER (here AND len(list_filter(fails, lambda x: x)) = 1), 0)::BIGINT AS unique_fails,
+             coalesce(sum(n_good) FILTER (here AND NOT gone), 0)::BIGINT AS good_lost,
+             coalesce(sum(n_toxic) FILTER (here AND NOT gone), 0)::BIGINT AS toxic_lost
+      FROM seen GROUP BY part, filter_order, step
+    )
+    SELECT * EXCLUDE (k), (sum(removed) OVER (PARTITION BY part, k))::BIGINT AS shapley FROM counts
+    """,
+)
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
