@@ -195,3 +195,63 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.filter_audit import audit
 
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(
+    "op11_phrase_collocations",
+    """
+    WITH d AS (
+      SELECT coalesce(lang, 'und') AS lang,
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+      FROM documents
+    ),
+    pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS p FROM d),
+    ws AS (SELECT lang, list_filter(string_split_regex(p, '[\\x20\\x09]+'), lambda w: w <> '') AS w FROM pieces),
+    places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM ws),
+    lengths AS (SELECT unnest(range(1, 5)) AS m),
+    f AS MATERIALIZED (
+      SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f
+      FROM places JOIN lengths ON i + m - 1 <= len(w) GROUP BY ALL
+    ),
+    words AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+    c AS MATERIALIZED (SELECT lang, m, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE m > 1 AND f >= 30),
+    cuts AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+    scores AS (
+      SELECT cuts.lang, cuts.phrase, cuts.a, k, x.f AS l, y.f AS r,
+             (2000000::HUGEINT * cuts.a // (x.f + y.f))::BIGINT AS score
+      FROM cuts
+      JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(cuts.w[1:k], ' ')
+      JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(cuts.w[k + 1:], ' ')
+    ),
+    best AS (
+      SELECT * FROM scores
+      QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+    ),
+    parts AS (
+      SELECT DISTINCT c.lang, c.phrase AS longer, c.a, array_to_string(c.w[i:i + p.m - 1], ' ') AS phrase
+      FROM c, lengths p, (SELECT unnest(range(1, 4)) AS i)
+      WHERE p.m >= 2 AND p.m < c.m AND i + p.m - 1 <= c.m
+    ),
+    kept AS (
+      SELECT * FROM best
+      WHERE NOT EXISTS (
+        FROM parts p WHERE p.lang = best.lang AND p.phrase = best.phrase AND 100::HUGEINT * p.a >= 80::HUGEINT * best.a
+      )
+    )
+    SELECT kept.lang, row_number() OVER o AS rank, phrase, a, l, r, n, score
+    FROM kept JOIN words USING (lang)
+    WINDOW o AS (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase)
+    QUALIFY row_number() OVER o <= 2000
+    """,
+)
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op12_word_bpe")
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.word_bpe import encode_digests
+
+    return encode_digests(table(spark, sf_dir, "documents"))
