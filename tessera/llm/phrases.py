@@ -33,6 +33,7 @@ stand. An empty table gives no rows. Only doc_id, text and lang are read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -40,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -184,12 +186,11 @@ def _pieces(raw: bytes) -> Iterator[bytes]:
 # --- passes -------------------------------------------------------------------
 
 
-def counted(docs: DataFrame, now: bytes | None, before: bytes | None, first: bool, max_words: int) -> DataFrame:
-    """One pass over ``docs`` (lang, raw): lang, phrase, h, known, f."""
-    shared = docs.sparkSession.sparkContext.broadcast((now, before))
+def counted(docs: DataFrame, shared: Broadcast, first: bool, max_words: int) -> DataFrame:
+    """One pass over ``docs`` (lang, raw): lang, phrase, h, known, f. ``shared``: the tables of now and before, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        tables = [None if b is None else np.frombuffer(b, np.uint8) for b in shared.value]
+        tables = [None if b is None else np.frombuffer(zlib.decompress(b), np.uint8) for b in shared.value]
         block = Block()
         for b in batches:
             langs, texts = b.column("lang"), b.column("raw")
@@ -234,8 +235,11 @@ def closed(docs: DataFrame, min_count: int, max_words: int, proposed: bytes | No
     ``min_count`` (lang, phrase, f; words of a language under the empty phrase), the table, the number of passes."""
     now, before, parts = proposed, None, []
     while True:
-        got = counted(docs, now, before, not parts, max_words).where((F.col("f") >= min_count) | (F.col("phrase") == ""))
+        # a table of few phrases packs to little; the pass is written out, so its copy can go at once
+        shared = docs.sparkSession.sparkContext.broadcast([None if t is None else zlib.compress(t, 1) for t in (now, before)])
+        got = counted(docs, shared, not parts, max_words).where((F.col("f") >= min_count) | (F.col("phrase") == ""))
         got = cut_lineage(got)
+        shared.destroy()
         parts.append(got)
         failed = bits_of(got.where(~F.col("known") & (F.size(_words("phrase")) < max_words)))
         if failed is None:
