@@ -50,13 +50,15 @@ from pyspark.sql import functions as F
 from tessera.session import ensure_checkpoint_dir
 
 #: Words in the transducer: a bound on what the driver holds and on the mapped file.
-LEXICON_WORDS = 200_000
+LEXICON_WORDS = 400_000
 #: Longer words (bytes) are never put into it.
 LEXICON_WORD_BYTES = 64
 #: Characters of text that a task cuts at once; distinct chunks that it counts before sending them on, and that it remembers.
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 6 << 20
 COUNTED = 250_000
-MEMO = 150_000
+MEMO = 250_000
+#: Words outside the lexicon that a task remembers besides.
+MERGED = 150_000
 
 
 def default_path() -> str:
@@ -158,6 +160,11 @@ class Cutter:
         return (self.full if self.above(text) else self.wide)(text)
 
 
+PLACE = (1 << 32) - 1
+RANK = ~PLACE
+NONE = 1 << 62
+
+
 class Merger:
     """Ids of a word (UTF-8 bytes) by its ranked merges."""
 
@@ -165,27 +172,44 @@ class Merger:
         self.pair, self.inner, self.last = v.pairs.get, v.inner, v.last
 
     def ids(self, word: bytes) -> list[int]:
-        n, pair = len(word), self.pair
-        ids = [self.inner[b] for b in word[:-1]] + [self.last[word[-1]]]
+        """Looking through all pairs for the least rank is quick in a short word; a long one keeps them in a heap."""
+        ids = [self.inner[b] for b in word]
+        ids[-1] = self.last[word[-1]]
+        return self.scanned(ids) if len(word) <= LEXICON_WORD_BYTES else self.heaped(ids)
+
+    def scanned(self, ids: list[int]) -> list[int]:
+        pair = self.pair
+        ranks = [pair(a << 32 | b, NONE) for a, b in zip(ids, ids[1:])]
+        while ranks and (low := min(ranks)) != NONE:
+            i, new = ranks.index(low), low & PLACE
+            ids[i : i + 2] = [new]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = pair(new << 32 | ids[i + 1], NONE)
+            if i:
+                ranks[i - 1] = pair(ids[i - 1] << 32 | new, NONE)
+        return ids
+
+    def heaped(self, ids: list[int]) -> list[int]:
+        n, pair = len(ids), self.pair
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-        for i in range(n - 1):
-            if (got := pair((ids[i] << 32) | ids[i + 1])) is not None:
-                heap.append((got >> 32, i, ids[i], ids[i + 1], got & 0xFFFFFFFF))
+        # rank and place in one number; a rank names its pair, so a look at the two ids tells whether an entry still holds
+        heap = [got & RANK | i for i, two in enumerate(zip(ids, ids[1:])) if (got := pair(two[0] << 32 | two[1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, left, right, new = heapq.heappop(heap)
+            top = heapq.heappop(heap)
+            i = top & PLACE
             j = after[i]
-            if ids[i] != left or j >= n or ids[j] != right:
+            if j >= n or ids[i] < 0 or (got := pair(ids[i] << 32 | ids[j])) is None or (got ^ top) & RANK:
                 continue  # one of the two has been merged meanwhile
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = new, _ = got & PLACE, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (got := pair((new << 32) | ids[k])) is not None:
-                    heapq.heappush(heap, (got >> 32, i, new, ids[k], got & 0xFFFFFFFF))
-            if (h := before[i]) >= 0 and (got := pair((ids[h] << 32) | new)) is not None:
-                heapq.heappush(heap, (got >> 32, h, ids[h], new, got & 0xFFFFFFFF))
+                if (got := pair(new << 32 | ids[k])) is not None:
+                    heapq.heappush(heap, got & RANK | i)
+            if (h := before[i]) >= 0 and (got := pair(ids[h] << 32 | new)) is not None:
+                heapq.heappush(heap, got & RANK | h)
         return [x for x in ids if x >= 0]
 
 
@@ -369,7 +393,8 @@ class Memo:
 
     def __init__(self, v: Vocabulary, lex: Lexicon):
         self.lex, self.merge, self.cut, self.added = lex, Merger(v), Cutter(v.pattern, list(v.added), v.tables), v.added
-        self.names = {i: b" " + t.encode() for i, t in v.tokens.items()}
+        self.names = [b" " + v.tokens.get(i, "").encode() for i in range(max(v.tokens) + 1)]
+        self.merged: dict[str, bytes] = {}
         self.ids: dict[str, bytes] = {}
         self.text: dict[str, bytes] = {}
 
@@ -382,12 +407,20 @@ class Memo:
         cut = list(map(self.cut.words, new))
         words = list(set(chain.from_iterable(cut)) - self.added.keys())
         raw = [w.encode() for w in words]
-        known = {w: np.array(self.merge.ids(r), "<i4").tobytes() if i is None else i for w, r, i in zip(words, raw, self.lex.find(raw))}
+        if len(self.merged) > MERGED:
+            self.merged.clear()
+        known = {w: self.exact(w, r) if i is None else i for w, r, i in zip(words, raw, self.lex.find(raw))}
         known.update((t, struct.pack("<i", i)) for t, i in self.added.items())
         name = self.names
         for c, w in zip(new, cut):
             self.ids[c] = ids = known[w[0]] if len(w) == 1 else b"".join(map(known.__getitem__, w))
-            self.text[c] = b"".join([name[i] for (i,) in struct.iter_unpack("<i", ids)])
+            self.text[c] = b"".join(map(name.__getitem__, memoryview(ids).cast("i")))
+
+    def exact(self, word: str, raw: bytes) -> bytes:
+        """Packed ids of a word outside the lexicon."""
+        if (got := self.merged.get(word)) is None:
+            got = self.merged[word] = np.array(self.merge.ids(raw), "<i4").tobytes()
+        return got
 
 
 def encoded(docs: DataFrame, path: str | None = None, lexicon_words: int = LEXICON_WORDS) -> DataFrame:

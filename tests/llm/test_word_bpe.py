@@ -81,6 +81,9 @@ def test_empty_lexicon_and_long_words(vocabulary, library):
     for w in ("a" * 999, "abracadabra" * 50, "zß漢" * 100, "x"):
         got = [i for c in word_bpe.Cutter(vocabulary.pattern, [], vocabulary.tables).words(w) for i in merge.ids(c.encode())]
         assert got == library.encode(w, add_special_tokens=False).ids
+    for w in (b"abracadabra" * 3, "zß漢".encode() * 9, b"aaaaaaa", b"x"):
+        start = [vocabulary.inner[b] for b in w[:-1]] + [vocabulary.last[w[-1]]]
+        assert merge.scanned(list(start)) == merge.heaped(list(start))
 
 
 def test_small_memo_and_blocks_change_nothing(spark, library, vocabulary, monkeypatch):
