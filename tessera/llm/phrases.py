@@ -11,10 +11,11 @@ they are in S, and the phrase was let in.
 
 S grows with the corpus, so tasks get it as a table of ``FILTER_BITS`` bits (16 MB
 at every size), built by Spark's bitmap aggregate over hashes of the phrases. A bit
-set by another phrase only lets more phrases be counted. Which phrases a pass counts
+set by another phrase only lets more phrases be counted. Texts are cut into words and
+numbered once, as blocks of bounded bytes in the shared checkpoint folder; passes read those. Which phrases a pass counts
 is a function of the bits, so "counted before" is known exactly in the next pass
-and counts of passes never overlap. Phrases are counted as numbers inside blocks of
-bounded bytes in numpy, then summed by phrase text (no hash decides equality) with
+and counts of passes never overlap. Phrases are counted as numbers inside a block
+in numpy, then summed by phrase text (no hash decides equality) with
 partial aggregation: a word of any frequency is one row per block.
 
 The sample takes documents by a hash of id and text, a share of the corpus that
@@ -59,7 +60,7 @@ LOWERED = 0.6
 #: Bits of the table of phrases that passes consult; a power of 2.
 FILTER_BITS = 1 << 27
 #: Bytes of text that are counted together in a task.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
 #: Rows of a batch that a task sends.
 ROWS_OUT = 100_000
 #: Window buckets of the first of two rankings.
@@ -69,6 +70,8 @@ RANK_BUCKETS = 64
 ENDS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + ENDS, b"abcdefghijklmnopqrstuvwxyz " + b"." * len(ENDS))
 _BUCKET = 32768  # bits in one value of Spark's bitmap aggregate
+BLOCK_NAMES = ["drawn", "a", "words", "hashes", "lang_of", "langs"]
+PACKED = "drawn boolean, a binary, words binary, hashes binary, lang_of binary, langs array<string>"
 COUNTED = "lang string, phrase string, h bigint, known boolean, f bigint"
 
 
@@ -124,50 +127,59 @@ class Block:
             self.parts.append(np.zeros(1, np.int64))
         self.n_bytes += len(piece)
 
-    def rows(self, now: np.ndarray | None, before: np.ndarray | None, first: bool, max_words: int) -> Iterator[pa.RecordBatch]:
-        """Counts of what ``now`` lets in and ``before`` did not (``first``: no pass was before)."""
-        if not self.parts:
+    def packed(self, drawn: bool) -> pa.RecordBatch:
+        """The block as one row."""
+        a = np.concatenate(self.parts).astype(np.int32)
+        cols = [
+            pa.array([drawn]), pa.array([a.tobytes()], pa.binary()), pa.array([b" ".join(self.words)], pa.binary()),
+            pa.array([np.array(self.hashes, np.uint64).tobytes()], pa.binary()), pa.array([np.array(self.lang_of, np.int32).tobytes()], pa.binary()), pa.array([self.langs], pa.list_(pa.string())),
+        ]
+        return pa.RecordBatch.from_arrays(cols, BLOCK_NAMES)
+
+
+def phrase_rows(row: dict, now: np.ndarray | None, before: np.ndarray | None, first: bool, max_words: int) -> Iterator[pa.RecordBatch]:
+    """Counts of what ``now`` lets in and ``before`` did not (``first``: no pass was before) in a packed block."""
+    a, lang_of = np.frombuffer(row["a"], np.int32).astype(np.int64), np.frombuffer(row["lang_of"], np.int32)
+    words, langs = pa.array(row["words"].split(b" "), pa.binary()).cast(pa.string()), pa.array(row["langs"], pa.string())
+    n = len(words)
+
+    def batch(index: list[np.ndarray], h, known, f):
+        for lo in range(0, len(f), ROWS_OUT):
+            part = slice(lo, lo + ROWS_OUT)
+            texts = [words.take(pa.array(c[part])) for c in index]
+            phrase = texts[0] if len(texts) == 1 else pc.binary_join_element_wise(*texts, " ")
+            cols = [langs.take(pa.array(lang_of[index[0][part]])), phrase, pa.array(h[part].view(np.int64)), pa.array(known[part]), pa.array(f[part])]
+            yield pa.RecordBatch.from_arrays(cols, ["lang", "phrase", "h", "known", "f"])
+
+    h1 = np.frombuffer(row["hashes"], np.uint64)
+    f = np.bincount(a, minlength=n)
+    now_in, old_in = _inside(now, h1), _inside(before, h1)
+    now_in[0] = old_in[0] = False
+    if first:
+        every = np.arange(1, n)
+        yield from batch([every], h1[1:], now_in[1:], f[1:])
+        total = np.bincount(lang_of[1:], weights=f[1:], minlength=len(langs)).astype(np.int64)
+        k = len(langs)  # words of each language, under the empty phrase
+        yield pa.RecordBatch.from_arrays([langs, pa.array([""] * k), pa.array(np.zeros(k, np.int64)), pa.array(np.ones(k, bool)), pa.array(total)], ["lang", "phrase", "h", "known", "f"])
+    at, h, index = a, h1, [np.arange(n)]
+    for m in range(2, max_words + 1):
+        # at[i]: number of the phrase of m - 1 words at place i, 0 if it was not let in
+        p, q = at[:-1], at[1:]
+        places = np.flatnonzero(now_in[p] & now_in[q])
+        if not len(places):
             return
-        a, n = np.concatenate(self.parts), len(self.words)
-        words, langs, lang_of = pa.array(self.words, pa.binary()).cast(pa.string()), pa.array(self.langs, pa.string()), np.array(self.lang_of)
-
-        def batch(index: list[np.ndarray], h, known, f):
-            for lo in range(0, len(f), ROWS_OUT):
-                part = slice(lo, lo + ROWS_OUT)
-                texts = [words.take(pa.array(c[part])) for c in index]
-                phrase = texts[0] if len(texts) == 1 else pc.binary_join_element_wise(*texts, " ")
-                cols = [langs.take(pa.array(lang_of[index[0][part]])), phrase, pa.array(h[part].view(np.int64)), pa.array(known[part]), pa.array(f[part])]
-                yield pa.RecordBatch.from_arrays(cols, ["lang", "phrase", "h", "known", "f"])
-
-        h1 = np.array(self.hashes, np.uint64)
-        f = np.bincount(a, minlength=n)
-        now_in, old_in = _inside(now, h1), _inside(before, h1)
-        now_in[0] = old_in[0] = False
-        if first:
-            every = np.arange(1, n)
-            yield from batch([every], h1[1:], now_in[1:], f[1:])
-            total = np.bincount(lang_of[1:], weights=f[1:], minlength=len(self.langs)).astype(np.int64)
-            k = len(self.langs)  # words of each language, under the empty phrase
-            yield pa.RecordBatch.from_arrays([langs, pa.array([""] * k), pa.array(np.zeros(k, np.int64)), pa.array(np.ones(k, bool)), pa.array(total)], ["lang", "phrase", "h", "known", "f"])
-        at, h, index = a, h1, [np.arange(n)]
-        for m in range(2, max_words + 1):
-            # at[i]: number of the phrase of m - 1 words at place i, 0 if it was not let in
-            p, q = at[:-1], at[1:]
-            places = np.flatnonzero(now_in[p] & now_in[q])
-            if not len(places):
-                return
-            codes, where, back, f = np.unique(p[places] * n + a[places + m - 1], return_index=True, return_inverse=True, return_counts=True)
-            head, last, tail = codes // n, codes % n, q[places[where]]
-            index = [np.concatenate([[0], c[head]]) for c in index] + [np.concatenate([[0], last])]
-            old = old_in[head] & old_in[tail]  # what the pass before let in
-            h = np.concatenate([np.zeros(1, np.uint64), _joined(h[head], h1[last])])
-            now_in, hit = _inside(now, h), _inside(before, h)
-            now_in[0] = False
-            new = np.arange(len(codes)) if first else np.flatnonzero(~old)
-            yield from batch([c[new + 1] for c in index], h[new + 1], now_in[new + 1], f[new])
-            old_in = np.concatenate([[False], old]) & hit
-            at = np.zeros(len(p), np.int64)
-            at[places] = back + 1
+        codes, where, back, f = np.unique(p[places] * n + a[places + m - 1], return_index=True, return_inverse=True, return_counts=True)
+        head, last, tail = codes // n, codes % n, q[places[where]]
+        index = [np.concatenate([[0], c[head]]) for c in index] + [np.concatenate([[0], last])]
+        old = old_in[head] & old_in[tail]  # what the pass before let in
+        h = np.concatenate([np.zeros(1, np.uint64), _joined(h[head], h1[last])])
+        now_in, hit = _inside(now, h), _inside(before, h)
+        now_in[0] = False
+        new = np.arange(len(codes)) if first else np.flatnonzero(~old)
+        yield from batch([c[new + 1] for c in index], h[new + 1], now_in[new + 1], f[new])
+        old_in = np.concatenate([[False], old]) & hit
+        at = np.zeros(len(p), np.int64)
+        at[places] = back + 1
 
 
 def _pieces(raw: bytes) -> Iterator[bytes]:
@@ -186,24 +198,43 @@ def _pieces(raw: bytes) -> Iterator[bytes]:
 # --- passes -------------------------------------------------------------------
 
 
-def counted(docs: DataFrame, shared: Broadcast, first: bool, max_words: int) -> DataFrame:
-    """One pass over ``docs`` (lang, raw): lang, phrase, h, known, f. ``shared``: the tables of now and before, packed."""
+def numbered_blocks(docs: DataFrame) -> DataFrame:
+    """``docs`` (lang, raw, drawn) as blocks of numbers: texts are read and cut once, all passes count from these.
+
+    Drawn documents (the sample) and the others go to blocks of their own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]):
-        tables = [None if b is None else np.frombuffer(zlib.decompress(b), np.uint8) for b in shared.value]
-        block = Block()
+        open_blocks = {True: Block(), False: Block()}
         for b in batches:
-            langs, texts = b.column("lang"), b.column("raw")
+            langs, texts, drawn = b.column("lang"), b.column("raw"), b.column("drawn")
             for i in range(b.num_rows):
-                lang = langs[i].as_py()
+                lang, d = langs[i].as_py(), drawn[i].as_py()
                 for piece in _pieces(texts[i].as_py()):
+                    block = open_blocks[d]
                     block.add(lang, piece)
                     if block.n_bytes >= BLOCK_BYTES:
-                        yield from block.rows(*tables, first, max_words)
-                        block = Block()
-        yield from block.rows(*tables, first, max_words)
+                        if block.parts:
+                            yield block.packed(d)
+                        open_blocks[d] = Block()
+        for d, block in open_blocks.items():
+            if block.parts:
+                yield block.packed(d)
+
+    return cut_lineage(docs.select("lang", "raw", "drawn").mapInArrow(run, PACKED))
+
+
+def counted(blocks: DataFrame, shared: Broadcast, first: bool, max_words: int) -> DataFrame:
+    """One pass over ``blocks``: lang, phrase, h, known, f. ``shared``: the tables of now and before, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        tables = [None if b is None else np.frombuffer(zlib.decompress(b), np.uint8) for b in shared.value]
+        for b in batches:
+            for i in range(b.num_rows):
+                row = {c: b.column(c)[i].as_py() for c in BLOCK_NAMES[1:]}
+                yield from phrase_rows(row, *tables, first, max_words)
 
-    got = docs.select("lang", "raw").mapInArrow(run, COUNTED)
+    got = blocks.mapInArrow(run, COUNTED)
     return got.groupBy("lang", "phrase").agg(F.max("h").alias("h"), F.max("known").alias("known"), F.sum("f").alias("f"))
 
 
@@ -230,14 +261,14 @@ def _either(a: bytes | None, b: bytes) -> bytes:
     return b if a is None else np.bitwise_or(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)).tobytes()
 
 
-def closed(docs: DataFrame, min_count: int, max_words: int, proposed: bytes | None) -> tuple[DataFrame, bytes | None, int]:
+def closed(blocks: DataFrame, min_count: int, max_words: int, proposed: bytes | None) -> tuple[DataFrame, bytes | None, int]:
     """Passes from ``proposed`` until no border phrase fails: all phrases of at least
     ``min_count`` (lang, phrase, f; words of a language under the empty phrase), the table, the number of passes."""
     now, before, parts = proposed, None, []
     while True:
         # a table of few phrases packs to little; the pass is written out, so its copy can go at once
-        shared = docs.sparkSession.sparkContext.broadcast([None if t is None else zlib.compress(t, 1) for t in (now, before)])
-        got = counted(docs, shared, not parts, max_words).where((F.col("f") >= min_count) | (F.col("phrase") == ""))
+        shared = blocks.sparkSession.sparkContext.broadcast([None if t is None else zlib.compress(t, 1) for t in (now, before)])
+        got = counted(blocks, shared, not parts, max_words).where((F.col("f") >= min_count) | (F.col("phrase") == ""))
         got = cut_lineage(got)
         shared.destroy()
         parts.append(got)
@@ -250,12 +281,13 @@ def closed(docs: DataFrame, min_count: int, max_words: int, proposed: bytes | No
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, sample_share: float = SAMPLE_SHARE) -> DataFrame:
     """lang, phrase, f of every phrase of 1 to ``max_words`` words with f >= ``min_count``, and the number of words of
     each lang under the empty phrase."""
-    docs = docs.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"))
+    raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     scale = 1 << 30
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", "raw"), F.lit(scale)) < F.lit(int(sample_share * scale)))
+    drawn = F.pmod(F.xxhash64("doc_id", raw), F.lit(scale)) < F.lit(int(sample_share * scale))
+    blocks = numbered_blocks(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), raw.alias("raw"), drawn.alias("drawn")))
     lowered = max(2, int(min_count * sample_share * LOWERED))
-    _, proposed, _ = closed(sample, lowered, max_words, None)
-    return closed(docs, min_count, max_words, proposed)[0]
+    _, proposed, _ = closed(blocks.where("drawn"), lowered, max_words, None)
+    return closed(blocks, min_count, max_words, proposed)[0]
 
 
 # --- scores ---------------------------------------------------------------------

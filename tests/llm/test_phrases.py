@@ -66,7 +66,8 @@ def test_failures_of_the_sample_are_expanded(spark):
     docs = documents(spark, rows)
     from pyspark.sql import functions as F
 
-    raw = docs.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"))
+    raw = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"), F.lit(False).alias("drawn"))
+    raw = phrases.numbered_blocks(raw)
     counts, _, passes = phrases.closed(raw, 30, 4, None)
     assert passes >= 4
     got = {(r.lang, r.phrase): r.f for r in counts.collect()}
