@@ -61,6 +61,11 @@ MEMO = 250_000
 MERGED = 150_000
 
 
+#: The pattern of the default file, whose words of ASCII letters are runs of them, and marks that are words by themselves.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+MARKS = frozenset(".,;:!?")
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -137,12 +142,18 @@ class Cutter:
                 p = p.replace(name, "".join(rf"\U{lo}-\U{hi}" for lo, hi in kept))
             return re.compile(p)
 
+        self.simple = pattern == PATTERN
         # the further the letters of a text reach, the more ranges its words have to be compared with
         self.ascii, self.wide, self.full = (compiled(f).findall for f in (lambda c: c < 0x80, lambda c: c < 0x10000, lambda c: True))
         self.above, self.odd = re.compile("[\U00010000-\U0010ffff]").search, re.compile(f"[{tables['odd']}]").search
         self.added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
     def words(self, text: str) -> list[str]:
+        if self.simple and text.isascii():  # letters alone, or before one mark, need no search
+            if text.isalpha():
+                return [text.lower()]
+            if text[-1:] in MARKS and text[:-1].isalpha():
+                return [text[:-1].lower(), text[-1]]
         if self.added is None or not self.added.search(text):
             return self.plain(text)
         parts = self.added.split(text)
