@@ -163,7 +163,9 @@ class TransientError(Exception):
 class RetryPolicy:
     """F8: retry transient failures ``max_retries`` times with capped exponential backoff.
 
-    A server-given ``retry_after`` wins over the computed delay; both are capped.
+    A server-given ``retry_after`` in whole seconds wins over the computed delay and is
+    waited out as it is; only the computed delay is capped. Anything else a server
+    gives (a date, say) leaves the computed delay.
     """
 
     max_retries: int = MAX_RETRIES
@@ -175,9 +177,12 @@ class RetryPolicy:
         """Transport failures (no status), every 5xx and the listed statuses are worth another try."""
         return status is None or status // 100 == 5 or status in self.retry_statuses
 
-    def delay(self, attempt: int, retry_after: float | None = None) -> float:
+    def delay(self, attempt: int, retry_after: float | str | None = None) -> float:
         if retry_after is not None:
-            return min(max(0.0, float(retry_after)), self.cap)
+            try:
+                return max(0.0, float(int(retry_after)))
+            except ValueError:
+                pass
         return min(self.base * (2 ** attempt), self.cap)
 
     def call(self, fn: Callable[[], object], sleep: Callable[[float], None] = time.sleep):

@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numeric import round6
 from tessera.operators import density as H
+from tessera.operators.metric_index import build_index, indexed_knn
 from tessera.operators.pairs import knn
 from tessera.plans.catalog import embedding_vectors
 from tessera.plans.registry import register
+from tessera.session import cut_lineage
+from tessera.sources.tables import table
 
 MIN_SAMPLES = 5
 KNN_M = 15
@@ -45,20 +48,53 @@ def mutual_reachability(spark, sf_dir):
     return j.select("row_id", "nbr_id", round6(F.greatest("dist", "ca", "cb")).alias("mr"))
 
 
-def _fit(spark, sf_dir):
-    v = embedding_vectors(spark, sf_dir)
-    n = v.count()
+def _neighbours(vectors):
+    n = vectors.count()
     mcs = max(5, n // 50)
-    return H.fit_hdbscan(v, n, mcs, None, BLOCK), n
+    index = build_index(vectors, n)
+    return index, cut_lineage(indexed_knn(index, min(mcs, n))), n, mcs
 
 
-@register("mst_weight")
+@register(
+    "mst_weight",
+    _P.replace("WITH e", "WITH RECURSIVE e", 1).replace(f"rn = {MIN_SAMPLES}", "rn = (SELECT GREATEST(5, COUNT(*) // 50) FROM e)").rstrip() + """,
+    m AS MATERIALIZED (
+      SELECT r.row_id AS a, r.nbr_id AS b, GREATEST(r.dist, ca.core, cb.core) AS w
+      FROM r JOIN core ca ON ca.row_id = r.row_id JOIN core cb ON cb.row_id = r.nbr_id
+    ),
+    -- one row per vertex outside the tree with its distance to it; each step takes the nearest in
+    prim AS (
+      SELECT 1 AS step, b AS v, w AS d FROM m WHERE a = (SELECT MIN(row_id) FROM e) AND b <> a
+      UNION ALL
+      SELECT p.step + 1, p.v, LEAST(p.d, m.w)
+      FROM prim p, (SELECT v FROM prim ORDER BY d, v LIMIT 1) x, m
+      WHERE m.a = x.v AND m.b = p.v AND p.v <> x.v
+    )
+    SELECT COUNT(*) AS n_edges, ROUND(SUM(d), 6) + 0.0 AS total_weight
+    FROM (SELECT step, MIN(d) AS d FROM prim GROUP BY step)
+    """,
+)
 def mst_weight(spark, sf_dir):
-    (labels, mst), n = _fit(spark, sf_dir)
-    return mst.edges.agg(F.count(F.lit(1)).alias("n_edges"), round6(F.sum("w")).alias("total_weight"))
+    index, near, _, _ = _neighbours(embedding_vectors(spark, sf_dir).select("row_id", "x"))
+    edges = H.boruvka_mst(index, near).edges
+    return edges.agg(F.count(F.lit(1)).alias("n_edges"), round6(F.sum("w")).alias("total_weight"))
+
+
+#: Letters whose shares of a text tell languages apart.
+PROFILE = "aehinorstuwéèñüß"
+
+
+def letter_profiles(spark, sf_dir):
+    """``(row_id, x)``: per document the share of each profile letter, in percent."""
+    t = F.lower(F.coalesce("text", F.lit("")))
+    n = F.greatest(F.length(t), F.lit(1))
+    share = [(F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))) * 100.0 / n for c in PROFILE]
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.array(*share).alias("x"))
 
 
 @register("hdbscan_fit")
 def hdbscan_fit(spark, sf_dir):
-    (labels, mst), n = _fit(spark, sf_dir)
-    return labels
+    """Letter profiles of all documents: a cluster per language, texts of no clear profile as noise."""
+    v = cut_lineage(letter_profiles(spark, sf_dir))
+    index, near, n, mcs = _neighbours(v)
+    return H.hdbscan_labels(H.boruvka_mst(index, near), v.select("row_id"), n, mcs)

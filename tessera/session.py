@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -83,6 +85,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_round(df: DataFrame, left: Column | None = None) -> DataFrame | tuple[DataFrame, int]:
+    """Write one round of a loop to the shared checkpoint folder and read it back.
+
+    With ``left`` also the number of rows for which it holds, counted while writing.
+
+    A checkpointed frame keeps what is known of the plan it came from (partitionings,
+    orderings, constraints, estimated sizes); joined and renamed from round to round
+    these multiply until planning takes longer than the work. A table read back has
+    none of them but its true size, so joins with small rounds need no shuffle.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/round-{uuid.uuid4().hex}"
+    schema, seen = df.schema, Observation()
+    if left is not None:
+        df = df.observe(seen, F.count_if(left).alias("n"))
+    df.write.parquet(path)
+    back = df.sparkSession.read.schema(schema).parquet(path)
+    return back if left is None else (back, seen.get["n"])
+
+
 def spread(df: DataFrame, key: str | None = None, per_core: int = 2) -> DataFrame:
     """Give an iteratively scanned frame at least ``per_core`` partitions per core.
 
@@ -106,8 +128,6 @@ def hash_sample(df: DataFrame, fraction: float, seed: int, key: str = "row_id")
     """
     if fraction >= 1.0:
         return df
-    from pyspark.sql import functions as F
-
     scale = 1 << 30
     return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(scale)) < F.lit(int(fraction * scale)))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import golden30, three_blobs, vec_frame
 from tessera.operators import density as H
+from tessera.operators.metric_index import build_index, indexed_knn
 from tessera.operators import sweep as W
 from tessera.operators.prepare import prepare_matrix
 from tessera.plans import clustering as C
@@ -116,8 +117,8 @@ def test_core_distance_and_mst_weight(spark):
         total += best[i]
         seen[i] = True
         best = np.minimum(best, mr[i])
-    vc = v.join(H.core_distances(v, n, 5, block_rows=16), "row_id")
-    mst = H.boruvka_mst(vc, n, block_rows=16)
+    index = build_index(v, n, 16)
+    mst = H.boruvka_mst(index, indexed_knn(index, 5))
     assert mst.edges.count() == n - 1
     assert mst.edges.agg(F.sum("w")).first()[0] == pytest.approx(total)
 

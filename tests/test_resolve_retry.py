@@ -39,10 +39,13 @@ def test_non_retryable_status_fails_at_once():
     assert fn.calls == 1
 
 
-def test_retry_after_wins_and_is_capped():
+def test_retry_after_wins_and_is_not_capped():
     p = RetryPolicy()
     assert p.delay(0, retry_after=2) == 2.0
-    assert p.delay(0, retry_after=10_000) == p.cap
+    assert p.delay(0, retry_after=10_000) == 10_000.0
+    assert p.delay(0, retry_after="120") == 120.0
+    assert p.delay(0, retry_after=-3) == 0.0
+    assert p.delay(0, retry_after="Wed, 21 Oct 2015 07:28:00 GMT") == p.delay(0)
     assert p.delay(10) == p.cap
 
 
