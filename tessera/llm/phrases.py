@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -261,6 +262,18 @@ def _either(a: bytes | None, b: bytes) -> bytes:
     return b if a is None else np.bitwise_or(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)).tobytes()
 
 
+@contextmanager
+def one_block_a_batch(spark):
+    """Hand Python one block at a time: batches of the usual number of rows would hold dozens of blocks."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def closed(blocks: DataFrame, min_count: int, max_words: int, proposed: bytes | None) -> tuple[DataFrame, bytes | None, int]:
     """Passes from ``proposed`` until no border phrase fails: all phrases of at least
     ``min_count`` (lang, phrase, f; words of a language under the empty phrase), the table, the number of passes."""
@@ -269,7 +282,8 @@ def closed(blocks: DataFrame, min_count: int, max_words: int, proposed: bytes |
         # a table of few phrases packs to little; the pass is written out, so its copy can go at once
         shared = blocks.sparkSession.sparkContext.broadcast([None if t is None else zlib.compress(t, 1) for t in (now, before)])
         got = counted(blocks, shared, not parts, max_words).where((F.col("f") >= min_count) | (F.col("phrase") == ""))
-        got = cut_lineage(got)
+        with one_block_a_batch(blocks.sparkSession):
+            got = cut_lineage(got)
         shared.destroy()
         parts.append(got)
         failed = bits_of(got.where(~F.col("known") & (F.size(_words("phrase")) < max_words)))
