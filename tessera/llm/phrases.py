@@ -9,14 +9,15 @@ no failure of fewer than ``max_words`` words is left, S is closed and every phra
 that reaches the threshold has been counted: all its parts are as frequent, so
 they are in S, and the phrase was let in.
 
-S grows with the corpus, so tasks get it as a table of ``FILTER_BITS`` bits (16 MB
+S grows with the corpus, so tasks get it as a table of ``FILTER_BITS`` bits (8 MB
 at every size), built by Spark's bitmap aggregate over hashes of the phrases. A bit
 set by another phrase only lets more phrases be counted. Texts are cut into words and
 numbered once, as blocks of bounded bytes in the shared checkpoint folder; passes read those. Which phrases a pass counts
 is a function of the bits, so "counted before" is known exactly in the next pass
 and counts of passes never overlap. Phrases are counted as numbers inside a block
-in numpy, then summed by phrase text (no hash decides equality) with
-partial aggregation: a word of any frequency is one row per block.
+in numpy. A pass first sums counts by 64-bit hash: phrases of one hash share a sum, so it
+is never too low, and what stays under the threshold, nearly all of the border, needs no
+text. The others are then summed by text (no hash decides equality) with partial aggregation: a word of any frequency is one row per block.
 
 The sample takes documents by a hash of id and text, a share of the corpus that
 grows with it; results do not depend on which documents it takes.
@@ -59,7 +60,7 @@ COVERED_PERCENT = 80
 SAMPLE_SHARE = 0.2
 LOWERED = 0.6
 #: Bits of the table of phrases that passes consult; a power of 2.
-FILTER_BITS = 1 << 27
+FILTER_BITS = 1 << 26
 #: Bytes of text that are counted together in a task.
 BLOCK_BYTES = 3 << 20
 #: Rows of a batch that a task sends.
@@ -138,8 +139,12 @@ class Block:
         return pa.RecordBatch.from_arrays(cols, BLOCK_NAMES)
 
 
-def phrase_rows(row: dict, now: np.ndarray | None, before: np.ndarray | None, first: bool, max_words: int) -> Iterator[pa.RecordBatch]:
-    """Counts of what ``now`` lets in and ``before`` did not (``first``: no pass was before) in a packed block."""
+def phrase_rows(row: dict, now: np.ndarray | None, before: np.ndarray | None, passing: np.ndarray | None, first: bool, max_words: int, texts: bool) -> Iterator[pa.RecordBatch]:
+    """Counts of what ``now`` lets in and ``before`` did not (``first``: no pass was before) in a packed block.
+
+    Without ``texts`` the hashes of phrases of two words and more; with ``texts`` the
+    phrases themselves, of those only the ones whose hash is in ``passing``.
+    """
     a, lang_of = np.frombuffer(row["a"], np.int32).astype(np.int64), np.frombuffer(row["lang_of"], np.int32)
     words, langs = pa.array(row["words"].split(b" "), pa.binary()).cast(pa.string()), pa.array(row["langs"], pa.string())
     n = len(words)
@@ -147,8 +152,8 @@ def phrase_rows(row: dict, now: np.ndarray | None, before: np.ndarray | None, fi
     def batch(index: list[np.ndarray], h, known, f):
         for lo in range(0, len(f), ROWS_OUT):
             part = slice(lo, lo + ROWS_OUT)
-            texts = [words.take(pa.array(c[part])) for c in index]
-            phrase = texts[0] if len(texts) == 1 else pc.binary_join_element_wise(*texts, " ")
+            parts = [words.take(pa.array(c[part])) for c in index]
+            phrase = parts[0] if len(parts) == 1 else pc.binary_join_element_wise(*parts, " ")
             cols = [langs.take(pa.array(lang_of[index[0][part]])), phrase, pa.array(h[part].view(np.int64)), pa.array(known[part]), pa.array(f[part])]
             yield pa.RecordBatch.from_arrays(cols, ["lang", "phrase", "h", "known", "f"])
 
@@ -156,7 +161,7 @@ def phrase_rows(row: dict, now: np.ndarray | None, before: np.ndarray | None, fi
     f = np.bincount(a, minlength=n)
     now_in, old_in = _inside(now, h1), _inside(before, h1)
     now_in[0] = old_in[0] = False
-    if first:
+    if first and texts:
         every = np.arange(1, n)
         yield from batch([every], h1[1:], now_in[1:], f[1:])
         total = np.bincount(lang_of[1:], weights=f[1:], minlength=len(langs)).astype(np.int64)
@@ -177,7 +182,13 @@ def phrase_rows(row: dict, now: np.ndarray | None, before: np.ndarray | None, fi
         now_in, hit = _inside(now, h), _inside(before, h)
         now_in[0] = False
         new = np.arange(len(codes)) if first else np.flatnonzero(~old)
-        yield from batch([c[new + 1] for c in index], h[new + 1], now_in[new + 1], f[new])
+        if texts:
+            new = new[_inside(passing, h[new + 1])]
+            yield from batch([c[new + 1] for c in index], h[new + 1], now_in[new + 1], f[new])
+        else:
+            for lo in range(0, len(new), ROWS_OUT):
+                part = new[lo : lo + ROWS_OUT]
+                yield pa.RecordBatch.from_arrays([pa.array(h[part + 1].view(np.int64)), pa.array(f[part])], ["h", "f"])
         old_in = np.concatenate([[False], old]) & hit
         at = np.zeros(len(p), np.int64)
         at[places] = back + 1
@@ -225,17 +236,19 @@ def numbered_blocks(docs: DataFrame) -> DataFrame:
     return cut_lineage(docs.select("lang", "raw", "drawn").mapInArrow(run, PACKED))
 
 
-def counted(blocks: DataFrame, shared: Broadcast, first: bool, max_words: int) -> DataFrame:
-    """One pass over ``blocks``: lang, phrase, h, known, f. ``shared``: the tables of now and before, packed."""
+def counted(blocks: DataFrame, shared: Broadcast, first: bool, max_words: int, texts: bool) -> DataFrame:
+    """One pass over ``blocks``: h, f without ``texts``, else lang, phrase, h, known, f. ``shared``: the three packed tables."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         tables = [None if b is None else np.frombuffer(zlib.decompress(b), np.uint8) for b in shared.value]
         for b in batches:
             for i in range(b.num_rows):
                 row = {c: b.column(c)[i].as_py() for c in BLOCK_NAMES[1:]}
-                yield from phrase_rows(row, *tables, first, max_words)
+                yield from phrase_rows(row, *tables, first, max_words, texts)
 
-    got = blocks.mapInArrow(run, COUNTED)
+    got = blocks.mapInArrow(run, COUNTED if texts else "h bigint, f bigint")
+    if not texts:
+        return got.groupBy("h").agg(F.sum("f").alias("f"))
     return got.groupBy("lang", "phrase").agg(F.max("h").alias("h"), F.max("known").alias("known"), F.sum("f").alias("f"))
 
 
@@ -262,6 +275,11 @@ def _either(a: bytes | None, b: bytes) -> bytes:
     return b if a is None else np.bitwise_or(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)).tobytes()
 
 
+def _sent(spark, *tables: bytes | None) -> Broadcast:
+    """Tables for the tasks of one pass; those of few phrases pack to little, and a pass is over when they are dropped."""
+    return spark.sparkContext.broadcast([None if t is None else zlib.compress(t, 1) for t in tables])
+
+
 @contextmanager
 def one_block_a_batch(spark):
     """Hand Python one block at a time: batches of the usual number of rows would hold dozens of blocks."""
@@ -279,12 +297,15 @@ def closed(blocks: DataFrame, min_count: int, max_words: int, proposed: bytes |
     ``min_count`` (lang, phrase, f; words of a language under the empty phrase), the table, the number of passes."""
     now, before, parts = proposed, None, []
     while True:
-        # a table of few phrases packs to little; the pass is written out, so its copy can go at once
-        shared = blocks.sparkSession.sparkContext.broadcast([None if t is None else zlib.compress(t, 1) for t in (now, before)])
-        got = counted(blocks, shared, not parts, max_words).where((F.col("f") >= min_count) | (F.col("phrase") == ""))
-        with one_block_a_batch(blocks.sparkSession):
-            got = cut_lineage(got)
-        shared.destroy()
+        spark, first = blocks.sparkSession, not parts
+        with one_block_a_batch(spark):
+            # most border phrases are rare: counts of hashes, never too low, leave few of them to be counted by text
+            shared = _sent(spark, now, before, None)
+            passing = bits_of(counted(blocks, shared, first, max_words, False).where(F.col("f") >= min_count))
+            shared.destroy()
+            shared = _sent(spark, now, before, passing)
+            got = cut_lineage(counted(blocks, shared, first, max_words, True).where((F.col("f") >= min_count) | (F.col("phrase") == "")))
+            shared.destroy()
         parts.append(got)
         failed = bits_of(got.where(~F.col("known") & (F.size(_words("phrase")) < max_words)))
         if failed is None:
