@@ -4,7 +4,7 @@ Rows are hashed into ``B`` blocks with ``B = ceil(n / block_rows)``. Each
 row is replicated once per partner block, and ``cogroup`` hands every
 (left block, right block) pair to one Arrow task with two bounded frames.
 The task reduces the block of distances *inside* the task (sums per
-cluster, top-m neighbours, minimum outgoing edge), so no pair is ever
+cluster), so no pair is ever
 emitted. Total work stays O(n^2 d) -- the operators that need it are
 quadratic by definition -- but it is spread evenly over B^2 tasks, and
 no task ever holds more than two blocks.
@@ -223,46 +223,3 @@ def multi_distance_sums(vecs: DataFrame, n: int, ks: list[int], blocks: int) ->
         F.array(*[F.sum(F.col("s")[j]) for j in range(width)]).alias("s"),
         F.array(*[F.sum(F.col("c")[j]) for j in range(width)]).alias("c"),
     )
-
-
-# ---------------------------------------------------------------------------
-# k nearest neighbours (self included)
-# ---------------------------------------------------------------------------
-
-KNN_SCHEMA = "row_id long, nbr_id long, dist double"
-
-
-def _knn_fn(m: int):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame({"row_id": [], "nbr_id": [], "dist": []})
-        xl, xr = _matrix(left["x"]), _matrix(right["x"])
-        lid, rid = left["row_id"].to_numpy(), right["row_id"].to_numpy()
-        kk = min(m, len(right))
-        rows, nbrs, dists = [], [], []
-        for s, e, dist in distance_chunks(xl, xr):
-            # order by (distance, neighbour id) so ties break the same way everywhere
-            order = np.lexsort((np.broadcast_to(rid, dist.shape), dist), axis=1)[:, :kk]
-            rows.append(np.repeat(lid[s:e], kk))
-            nbrs.append(rid[order].ravel())
-            dists.append(np.take_along_axis(dist, order, axis=1).ravel())
-        return pd.DataFrame({"row_id": np.concatenate(rows), "nbr_id": np.concatenate(nbrs),
-                             "dist": np.concatenate(dists)})
-
-    return run
-
-
-def knn(vecs: DataFrame, n: int, m: int, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """Exact ``m`` nearest neighbours of every row, the row itself included.
-
-    Each block pair keeps its own top ``m``; the global top ``m`` of a row is
-    always inside the union of its per-block top ``m``, so the final rank is exact.
-    Ties are broken by neighbour id. Returns ``(row_id, nbr_id, dist, rank)``.
-    """
-    from pyspark.sql import Window
-
-    b = n_blocks(n, block_rows)
-    v = vecs.select("row_id", "x")
-    partial = cogroup_blocks(v, v, b).applyInPandas(_knn_fn(m), KNN_SCHEMA)
-    w = Window.partitionBy("row_id").orderBy("dist", "nbr_id")
-    return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= m)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tessera.functions.numeric import round6
 from tessera.operators import density as H
 from tessera.operators.metric_index import build_index, indexed_knn
-from tessera.operators.pairs import knn
 from tessera.plans.catalog import embedding_vectors
 from tessera.plans.registry import register
 from tessera.session import cut_lineage
@@ -15,7 +14,6 @@ from tessera.sources.tables import table
 
 MIN_SAMPLES = 5
 KNN_M = 15
-BLOCK = 256
 
 _P = (
     "WITH e AS (SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), "
@@ -28,7 +26,7 @@ _P = (
 @register("core_distance", _P + "SELECT row_id, ROUND(core, 6) + 0.0 AS core FROM core")
 def core_distance(spark, sf_dir):
     v = embedding_vectors(spark, sf_dir)
-    return H.core_distances(v, v.count(), MIN_SAMPLES, BLOCK).select("row_id", round6("core").alias("core"))
+    return H.core_distances(v, v.count(), MIN_SAMPLES).select("row_id", round6("core").alias("core"))
 
 
 @register(
@@ -40,8 +38,8 @@ def mutual_reachability(spark, sf_dir):
     """Mutual-reachability weights of every row's kNN edges."""
     v = embedding_vectors(spark, sf_dir)
     n = v.count()
-    core = H.core_distances(v, n, MIN_SAMPLES, BLOCK).cache()
-    nb = knn(v, n, KNN_M, BLOCK)
+    core = H.core_distances(v, n, MIN_SAMPLES).cache()
+    nb = indexed_knn(build_index(v, n), KNN_M)
     j = nb.join(core.withColumnRenamed("core", "ca"), "row_id").join(
         core.select(F.col("row_id").alias("nbr_id"), F.col("core").alias("cb")), "nbr_id"
     )

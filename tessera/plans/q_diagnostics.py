@@ -8,7 +8,7 @@ from tessera.functions.numeric import round6
 from tessera.operators import diagnostics as D
 from tessera.operators import interpret as I
 from tessera.operators import postprocess as L
-from tessera.operators.pairs import knn
+from tessera.operators.metric_index import build_index, indexed_knn
 from tessera.plans.catalog import embedding_vectors
 from tessera.plans.q_post import FEATS, _ZL, labeled_matrix
 from tessera.plans.q_select import GMM_SQL, _bic_icl_curves
@@ -63,13 +63,26 @@ def pca_variance_ratio(spark, sf_dir):
 def knn_edges(spark, sf_dir):
     v = embedding_vectors(spark, sf_dir)
     n = v.count()
-    return knn(v, n, KNN_M, block_rows=256).select("row_id", "nbr_id", round6("dist").alias("dist"), F.col("rank").cast("int"))
+    return indexed_knn(build_index(v, n), KNN_M).select("row_id", "nbr_id", round6("dist").alias("dist"), F.col("rank").cast("int"))
 
 
 @register("spectral_layout")
 def spectral_layout(spark, sf_dir):
     v = embedding_vectors(spark, sf_dir)
-    return D.spectral_layout(v, v.count(), seed=0, iters=30)
+    return D.spectral_layout(v, v.count())
+
+
+@register(
+    "spectral_orthonormal",
+    "SELECT i AS a, j AS b, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS dot, COUNT(*) AS n_rows "
+    "FROM embeddings, (VALUES (1, 1), (1, 2), (2, 2)) t(i, j) GROUP BY i, j",
+)
+def spectral_orthonormal(spark, sf_dir):
+    """Dot products of the layout's columns over all rows: orthonormal, whatever the data are."""
+    y = spectral_layout(spark, sf_dir)
+    pairs = [F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), (F.col(f"dim{i}") * F.col(f"dim{j}")).alias("d")) for i, j in ((1, 1), (1, 2), (2, 2))]
+    terms = y.select(F.explode(F.array(*pairs)).alias("t")).groupBy("t.a", "t.b")
+    return terms.agg(F.round(F.sum("t.d"), 6).alias("dot"), F.count(F.lit(1)).alias("n_rows")).select("a", "b", (F.col("dot") + 0.0).alias("dot"), "n_rows")
 
 
 HEAT_SQL = (
