@@ -37,6 +37,7 @@ import mmap
 import re
 import struct
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -56,7 +57,7 @@ LEXICON_WORD_BYTES = 64
 #: Characters of text that a task cuts at once; distinct chunks that it counts before sending them on, and that it remembers.
 BLOCK_CHARS = 6 << 20
 COUNTED = 250_000
-MEMO = 250_000
+MEMO = 300_000
 #: Words outside the lexicon that a task remembers besides.
 MERGED = 150_000
 
@@ -434,15 +435,26 @@ class Memo:
         return got
 
 
+_MEMOS: dict[str, Memo] = {}
+
+
+def _memo(call: str, v: Vocabulary, name: str) -> Memo:
+    """The memo of one call, kept by a worker from task to task."""
+    if call not in _MEMOS:
+        _MEMOS.clear()
+        _MEMOS[call] = Memo(v, mapped(name))
+    return _MEMOS[call]
+
+
 def encoded(docs: DataFrame, path: str | None = None, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
     """Per row: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded (UTF-8)."""
     v = Vocabulary(path)
     docs = _texts(docs)
     name = share(docs.sparkSession, lexicon(docs, v, lexicon_words))
-    shared = docs.sparkSession.sparkContext.broadcast(v)
+    shared, call = docs.sparkSession.sparkContext.broadcast(v), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]):
-        memo = Memo(shared.value, mapped(name))
+        memo = _memo(call, shared.value, name)
         rows: list[tuple[int | None, list[str]]] = []
         size = 0
 
