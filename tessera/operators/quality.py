@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.pairs import DEFAULT_BLOCK_ROWS, cluster_distance_sums
+from tessera.operators.pairs import cluster_distance_sums, multi_distance_sums, silhouette_blocks
 
 #: Largest centroid table (k * d values) that is broadcast to the rows.
 MAX_BROADCAST_CELLS = 5_000_000
@@ -134,7 +134,7 @@ def ch_frame(vecs: DataFrame, d: int) -> DataFrame:
     )
 
 
-def silhouette_rows(vecs: DataFrame, n: int | None = None, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+def silhouette_rows(vecs: DataFrame, n: int | None = None, block_rows: int | None = None) -> DataFrame:
     """Exact silhouette of every clustered row, ``(row_id, cluster, s)``.
 
     a = mean distance to the other members of its cluster, b = the smallest
@@ -144,7 +144,9 @@ def silhouette_rows(vecs: DataFrame, n: int | None = None, block_rows: int = DEF
     cl = clustered(vecs)
     if n is None:
         n = cl.count()
-    sums = cluster_distance_sums(cl, n, block_rows)
+    first = cl.select(F.size("x").alias("d")).first()
+    blocks = silhouette_blocks(n, int(first["d"]) if first else 1, vecs.sparkSession.sparkContext.defaultParallelism, block_rows)
+    sums = cluster_distance_sums(cl, n, blocks)
     per_row = sums.groupBy("row_id", "own").agg(
         F.max(F.when(F.col("other") == F.col("own"), F.col("mean_dist"))).alias("a"),
         F.min(F.when(F.col("other") != F.col("own"), F.col("mean_dist"))).alias("b"),
@@ -161,7 +163,7 @@ def silhouette_rows(vecs: DataFrame, n: int | None = None, block_rows: int = DEF
     )
 
 
-def silhouette(vecs: DataFrame, n: int | None = None, block_rows: int = DEFAULT_BLOCK_ROWS) -> float:
+def silhouette(vecs: DataFrame, n: int | None = None, block_rows: int | None = None) -> float:
     """Mean exact silhouette over clustered rows; 0.0 with fewer than two clusters."""
     cl = clustered(vecs)
     k = cl.select("cluster").distinct().count()
@@ -179,8 +181,6 @@ def silhouettes(vecs: DataFrame, n: int, block_rows: int | None = None) -> dict[
     with fewer than two clusters scores 0.0. Distances are computed once per
     block pair for all labelings; no pair and no sample is ever materialised.
     """
-    from tessera.operators.pairs import multi_distance_sums, silhouette_blocks
-
     first = vecs.select(F.size("labs").alias("m"), F.size("x").alias("d")).first()
     if first is None:
         return {}

@@ -84,7 +84,7 @@ SILHOUETTE_SQL = (
 
 @register("cluster_silhouette", SILHOUETTE_SQL)
 def cluster_silhouette(spark, sf_dir):
-    rows = Q.silhouette_rows(embedding_vectors(spark, sf_dir), block_rows=256)
+    rows = Q.silhouette_rows(embedding_vectors(spark, sf_dir))
     return rows.agg(round6(F.avg("s")).alias("silhouette"))
 
 
