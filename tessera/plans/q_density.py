@@ -46,11 +46,10 @@ def mutual_reachability(spark, sf_dir):
     return j.select("row_id", "nbr_id", round6(F.greatest("dist", "ca", "cb")).alias("mr"))
 
 
-def _neighbours(vectors):
+def _tree(vectors):
     n = vectors.count()
     mcs = max(5, n // 50)
-    index = build_index(vectors, n)
-    return index, cut_lineage(indexed_knn(index, min(mcs, n))), n, mcs
+    return H.reachability_tree(vectors, n, mcs), n, mcs
 
 
 @register(
@@ -73,8 +72,7 @@ def _neighbours(vectors):
     """,
 )
 def mst_weight(spark, sf_dir):
-    index, near, _, _ = _neighbours(embedding_vectors(spark, sf_dir).select("row_id", "x"))
-    edges = H.boruvka_mst(index, near).edges
+    edges = _tree(embedding_vectors(spark, sf_dir).select("row_id", "x"))[0].edges
     return edges.agg(F.count(F.lit(1)).alias("n_edges"), round6(F.sum("w")).alias("total_weight"))
 
 
@@ -94,5 +92,5 @@ def letter_profiles(spark, sf_dir):
 def hdbscan_fit(spark, sf_dir):
     """Letter profiles of all documents: a cluster per language, texts of no clear profile as noise."""
     v = cut_lineage(letter_profiles(spark, sf_dir))
-    index, near, n, mcs = _neighbours(v)
-    return H.hdbscan_labels(H.boruvka_mst(index, near), v.select("row_id"), n, mcs)
+    mst, n, mcs = _tree(v)
+    return H.hdbscan_labels(mst, v.select("row_id"), n, mcs)
