@@ -119,3 +119,25 @@ def test_silhouette_queries_send_few_copies_of_a_row(spark, query, monkeypatch):
     assert min(rows) >= 1024
     # 600,000 vectors: under 25 copies of each
     assert pairs.silhouette_blocks(600_000, 64, 12) < 25
+
+
+def test_label_sums_by_small_tiles_equal_brute_force(monkeypatch):
+    from tessera.operators import pairs
+
+    r = np.random.default_rng(8)
+    x, y = r.normal(size=(600, 4)), r.normal(size=(300, 4)) + 50.0
+    hx, hy = np.eye(3)[r.integers(0, 3, 600)], np.eye(2)[r.integers(0, 2, 300)]
+    seen, tiles = [], pairs.squared_tiles
+
+    def watched(*args):
+        for tile in tiles(*args):
+            seen.append(tile[-1].size)
+            yield tile
+
+    monkeypatch.setattr(pairs, "squared_tiles", watched)
+    d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1))
+    left, right = pairs._label_sums(x, y, hx, hy, False)
+    assert np.allclose(left, d @ hy, rtol=1e-11) and np.allclose(right, d.T @ hx, rtol=1e-11)
+    own = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    assert np.allclose(pairs._label_sums(x, x, hx, hx, True)[0], own @ hx, rtol=1e-9)
+    assert max(seen) <= pairs.TILE**2  # stays in a core's cache
