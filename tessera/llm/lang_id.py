@@ -57,9 +57,12 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
+_LETTERS = regex.compile(r"\p{L}+").findall  # bound once: looking up a pattern takes longer than searching a chunk
+
+
 def words_of(text: str) -> list[str]:
     """Runs of letters, in lower case."""
-    return regex.findall(r"\p{L}+", text.lower())
+    return _LETTERS(text.lower())
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:

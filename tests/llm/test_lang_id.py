@@ -75,3 +75,13 @@ def test_nothing_to_learn(spark):
     assert lang_id.predictions(documents(spark, [])).count() == 0
     out = lang_id.predictions(documents(spark, [(1, "words", None), (2, "more", None)])).collect()
     assert [r.lang_pred for r in out] == ["und", "und"]
+
+
+def test_words_are_found_without_looking_up_the_pattern(monkeypatch):
+    import regex
+
+    def looked_up(*args, **options):
+        raise AssertionError("a pattern is looked up for each chunk")
+
+    monkeypatch.setattr(regex, "findall", looked_up)
+    assert lang_id.words_of("Über-Maß, İzmir 12 it's щука.") == ["über", "maß", "i", "zmir", "it", "s", "щука"]
