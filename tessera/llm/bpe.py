@@ -4,8 +4,10 @@ The merges run in Spark: for each distinct word a higher-order ``aggregate``
 folds the merge of least rank (leftmost of equals) over the word's array of bytes
 until none is left. The ranks are a literal map from pairs of pieces to the rank,
 which is also the id, of the joined piece; it is laid out as a perfect hash in two
-literal arrays, since a lookup in Spark's own map type walks through its
-entries. Decoding concatenates the binary pieces of the ids.
+arrays, since a lookup in Spark's own map type walks through its entries. The arrays
+are a literal table of one row, which is broadcast: as literals of an expression they
+were boxed in every task and printed with every plan. Decoding concatenates the binary
+pieces of the ids.
 
 Texts are cut into words by the tokenizer's pattern in Arrow batches, and a row
 holds a block of documents as ids, with placeholders for words that still have to
@@ -30,12 +32,10 @@ from __future__ import annotations
 import base64
 import heapq
 import struct
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -105,7 +105,7 @@ class RankMap:
         pairs = {(ranks[t[:i]] << BITS) | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
         keys = np.array(list(pairs), np.int64)
         # Spark's own hash, so that driver and expression agree
-        got = spark.createDataFrame(pd.DataFrame({"k": keys}), "k bigint").select("k", F.shiftrightunsigned(F.xxhash64("k"), 1).alias("h")).toPandas()
+        got = spark.createDataFrame(pa.table({"k": keys})).select("k", F.shiftrightunsigned(F.xxhash64("k"), 1).alias("h")).toArrow()
         keys = got["k"].to_numpy()
         self.slots, self.buckets = 1 << max(1, (2 * len(keys) - 1).bit_length()), max(1, len(keys) // 3)
         shift, place = _place(got["h"].to_numpy(), self.slots, self.buckets)
@@ -115,14 +115,9 @@ class RankMap:
         # elements of all pairs of bytes, so that a fold starts without hashing
         two = [(pairs.get((a << BITS) | b, NONE) << BITS) | a for a in single for b in single]
 
-        def literal(values, kind):
-            return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
-
-        self.literal = literal(shift.tolist(), "int").alias("shift"), literal(table.tolist(), "bigint").alias("table"), literal(single, "bigint").alias("single"), literal(two, "bigint").alias("two")
-
-    def bound(self, use) -> Column:
-        """``use(m)`` with the literal bound to m, so that the plan holds it once."""
-        return let(F.struct(*self.literal), use)
+        # one row of four arrays
+        arrays = {"shift": (shift, pa.int32()), "table": (table, pa.int64()), "single": (single, pa.int64()), "two": (two, pa.int64())}
+        self.row = spark.createDataFrame(pa.table({f"_{n}": pa.array([np.asarray(v)], pa.list_(kind)) for n, (v, kind) in arrays.items()}))
 
     def element(self, m: Column, left: Column, right: Column) -> Column:
         """Rank of the pair in the upper bits, id of its left piece in the lower ones."""
@@ -165,8 +160,11 @@ class RankMap:
         folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(word) - 1, F.lit(1))), start, step)
         return F.transform(folded, lambda e: ident(e).cast("int"))
 
-    def encode_all(self, words: Column) -> Column:
-        return self.bound(lambda m: F.transform(words, lambda w: self.encode(m, w)))
+    def encode_all(self, rows: DataFrame, raw: str, name: str) -> DataFrame:
+        """``rows`` with ids of the words in column ``raw``, which goes, as column ``name``."""
+        m = F.struct(*[F.col(c).alias(c[1:]) for c in self.row.columns])
+        ids = let(m, lambda m: F.transform(F.col(raw), lambda w: self.encode(m, w)))
+        return rows.crossJoin(F.broadcast(self.row)).select(*[c for c in rows.columns if c != raw], ids.alias(name))
 
 
 def heap_encode(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -276,8 +274,14 @@ def fill(packed: bytes, folded: list[bytes]) -> list[int]:
     return np.frombuffer(b"".join(parts), np.int32).tolist()
 
 
-def _packed(ids) -> bytes:
-    return np.asarray(ids, np.int32).tobytes()
+def _packed_lists(lists: pa.ListArray) -> list[bytes]:
+    """Each list's ids as bytes, without Python numbers."""
+    if not len(lists):
+        return []
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    data = lists.values.slice(ends[0], ends[-1] - ends[0]).to_numpy().astype(np.int32).tobytes()
+    cuts = (4 * (ends - ends[0])).tolist()
+    return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def frequent_words(docs: DataFrame, ranks: RankMap, pattern: str, sample_docs: int, n_words: int) -> bytes:
@@ -303,7 +307,7 @@ def frequent_words(docs: DataFrame, ranks: RankMap, pattern: str, sample_docs: i
 
     cores = docs.sparkSession.sparkContext.defaultParallelism
     packed = top.repartition(cores * 4, "word").mapInArrow(as_bytes, "words array<string>, raw array<array<int>>")
-    got = packed.select("words", ranks.encode_all(F.col("raw")).alias("ids")).toArrow()
+    got = ranks.encode_all(packed, "raw", "ids").toArrow()
     # stays in Arrow buffers: the driver holds some ten bytes a word, each worker makes its own dictionary
     words, lists = (got.column(c).combine_chunks().flatten() if got.num_rows else pa.array([], t) for c, t in ((0, pa.string()), (1, pa.list_(pa.int32()))))
     ends = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).astype(np.int32) * 4
@@ -316,16 +320,17 @@ def frequent_words(docs: DataFrame, ranks: RankMap, pattern: str, sample_docs: i
     return sink.getvalue().to_pybytes()
 
 
-_LATEST: dict[str, dict[str, bytes]] = {}
+def dictionary(data: bytes) -> dict[str, bytes]:
+    """The words of ``frequent_words`` as a dictionary.
 
-
-def dictionary(name: str, data: bytes) -> dict[str, bytes]:
-    """The words of ``frequent_words`` as a dictionary; a worker keeps the latest one."""
-    if name not in _LATEST:
-        t = pa.ipc.open_stream(data).read_all()
-        _LATEST.clear()
-        _LATEST[name] = dict(zip(t.column("word").to_pylist(), t.column("ids").to_pylist()))
-    return _LATEST[name]
+    Made anew for each task: Python workers take either step of the next one, and each would keep its own.
+    """
+    words: dict[str, bytes] = {}
+    for b in pa.ipc.open_stream(data):
+        for lo in range(0, b.num_rows, 20_000):
+            part = b.slice(lo, 20_000)
+            words.update(zip(part.column("word").to_pylist(), part.column("ids").to_pylist()))
+    return words
 
 
 def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None, sample_docs: int = SAMPLE_DOCS, cached_words: int = CACHED_WORDS) -> DataFrame:
@@ -336,12 +341,11 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
     ranks = RankMap(spark, tokens)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = spark.sparkContext.broadcast(frequent_words(docs, ranks, pattern, sample_docs, cached_words))
-    name = uuid.uuid4().hex
     vocabulary = spark.sparkContext.broadcast(sorted(tokens, key=tokens.get))
 
     def block(batches: Iterator[pa.RecordBatch]):
-        chunks = Chunks(dictionary(name, known.value), pattern)
-        ids, out, chars = [], [], 0
+        chunks = Chunks(dictionary(known.value), pattern)
+        ids, out, chars, b = [], [], 0, None
 
         def block_row():
             words = [w.encode() for w in chunks.end_block()]
@@ -361,6 +365,8 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
                     chars += len(text)
         if out:
             yield block_row()
+        del b, chunks  # what a task held goes back before the worker waits for the next one
+        pa.default_memory_pool().release_unused()
 
     def finish(batches: Iterator[pa.RecordBatch]):
         pieces = vocabulary.value
@@ -368,20 +374,25 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
         by_bytes: dict[bytes, int] = {}
         for b in batches:
             for row in range(b.num_rows):
-                doc_ids, packed, words, ids = (b.column(c)[row].as_py() for c in ("doc_ids", "packed", "words", "ids"))
-                if any(len(w) > FOLD_BYTES for w in words):
-                    by_bytes = by_bytes or {t: i for i, t in enumerate(pieces)}
-                    ids = [x if len(w) <= FOLD_BYTES else heap_encode(w, by_bytes) for w, x in zip(words, ids)]
-                folded = list(map(_packed, ids))
-                full = [fill(p, folded) for p in packed]
-                joined = [" ".join(map(names.__getitem__, x)) for x in full]
-                decoded = [b"".join(map(pieces.__getitem__, x)) for x in full]
-                cols = [pa.array(doc_ids, pa.int64()), pa.array(list(map(len, full)), pa.int64()), pa.array(joined, pa.string()), pa.array(decoded, pa.binary())]
+                doc_ids, packed, words = (b.column(c)[row].as_py() for c in ("doc_ids", "packed", "words"))
+                folded = _packed_lists(b.column("ids")[row].values)
+                for i, w in enumerate(words):
+                    if len(w) > FOLD_BYTES:
+                        by_bytes = by_bytes or {t: i for i, t in enumerate(pieces)}
+                        folded[i] = np.asarray(heap_encode(w, by_bytes), np.int32).tobytes()
+                sizes, joined, decoded = [], [], []
+                for p in packed:  # the ids of one document at a time as Python numbers
+                    full = fill(p, folded)
+                    sizes.append(len(full))
+                    joined.append(" ".join(map(names.__getitem__, full)))
+                    decoded.append(b"".join(map(pieces.__getitem__, full)))
+                cols = [pa.array(doc_ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(joined, pa.string()), pa.array(decoded, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids", "decoded"])
+        pa.default_memory_pool().release_unused()
 
     kinds = pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.list_(pa.int32()))
     blocks = docs.mapInArrow(block, "doc_ids array<bigint>, packed array<binary>, words array<binary>, raw array<array<int>>")
-    blocks = blocks.select("doc_ids", "packed", "words", ranks.encode_all(F.col("raw")).alias("ids"))
+    blocks = ranks.encode_all(blocks, "raw", "ids")
     return blocks.mapInArrow(finish, "doc_id bigint, n_tokens bigint, ids string, decoded binary")
 
 

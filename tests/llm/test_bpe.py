@@ -43,3 +43,21 @@ def test_digests_and_empty(spark):
     out = bpe.encode_digests(documents(spark, [(1, ""), (2, "hello")])).collect()
     assert {r.doc_id: r.n_tokens for r in out}[1] == 0
     assert bpe.encode_digests(documents(spark, [])).count() == 0
+
+
+def test_plan_does_not_print_the_rank_map(spark):
+    plan = bpe.encode_digests(documents(spark, [(1, "hello")]))._jdf.queryExecution().toString()
+    assert len(plan) < 100_000
+
+
+def test_workers_keep_no_words_between_tasks(spark):
+    import pyarrow as pa
+
+    bpe.encode_digests(documents(spark, [(i, f"word{i} the cat") for i in range(40)])).collect()
+
+    def held(batches):
+        for b in batches:
+            own = [v for k, v in vars(bpe).items() if isinstance(v, dict) and not k.startswith("__")]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, own))] * b.num_rows, pa.int64())], ["n"])
+
+    assert spark.range(64).repartition(16).mapInArrow(held, "n bigint").groupBy().max("n").first()[0] == 0
