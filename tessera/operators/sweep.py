@@ -3,8 +3,8 @@
 Every (k, init) model of a sweep advances in the *same* scan: one
 ``mapInArrow`` pass over the cached matrix computes, per partition and per
 model, the sufficient statistics of the E-step (or the assignment step), and
-a native ``Summarizer.sum`` aggregate adds them up (partial aggregation, so
-the shuffle is partitions x models x stats, independent of the row count).
+a native aggregate adds them up (the shuffle is partitions x models x stats,
+independent of the row count).
 The driver then performs the tiny M-step on k x d x d numbers and ships the
 next parameters with the next scan. Converged models drop out of the scan.
 
@@ -24,8 +24,6 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,10 +124,10 @@ def list_column(m: np.ndarray) -> pa.ListArray:
 
 
 #: Collect per-partition partial statistics straight to the driver while
-#: partitions x statistic width stays below this many doubles (a single
-#: bounded round trip, like the last level of a tree aggregate); above it the
-#: partials are summed by a native aggregate on the executors first.
-DIRECT_COLLECT_DOUBLES = 4_000_000
+#: partitions x statistic width stays below this many doubles (half a MB; a fit
+#: has hundreds of scans); above it the partials are summed by a native aggregate
+#: on the executors first, so that what the driver gets depends on the models alone.
+DIRECT_COLLECT_DOUBLES = 65_536
 
 
 def _per_partition(batch_fn):
@@ -167,11 +165,11 @@ def _run_scan(vecs: DataFrame, batch_fn, width: int | None = None) -> dict[tuple
             v = np.asarray(r["s"], dtype=np.float64)
             acc[key] = acc[key] + v if key in acc else v
         return acc
-    agg = (
-        out.select("model", "comp", array_to_vector("s").alias("v"))
-        .groupBy("model", "comp")
-        .agg(vector_to_array(Summarizer.sum(F.col("v"))).alias("s"))
-    )
+    # plain sums, place by place (a Summarizer's sum is a mean times a weight, so counts would not be whole)
+    places = out.repartition("model", "comp").select("model", "comp", F.posexplode("s").alias("j", "v"))
+    sums = places.groupBy("model", "comp", "j").agg(F.sum("v").alias("v"))
+    listed = F.array_sort(F.collect_list(F.struct("j", "v")))
+    agg = sums.groupBy("model", "comp").agg(F.transform(listed, lambda e: e["v"]).alias("s"))
     return {(r["model"], r["comp"]): np.array(r["s"]) for r in agg.collect()}
 
 

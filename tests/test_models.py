@@ -170,3 +170,21 @@ def test_empty_cluster_moves(spark):
     far = W.KMeansModel(k=3, centers=np.array([[0.0], [5.0], [1000.0]]))
     done = W.lloyd(vec_frame(spark, x), {0: far}, 1, 1e-9, 50)
     assert sorted(np.round(done[0].centers[:, 0], 2).tolist()) == [0.05, 5.05, 9.05]
+
+
+def test_scan_of_many_partitions_is_summed_before_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rows, collect = [], DataFrame.collect
+
+    def watched(self):
+        got = collect(self)
+        rows.append(len(got))
+        return got
+
+    v = vec_frame(spark, np.random.default_rng(1).normal(size=(400, 64))).repartition(64, "row_id")
+    monkeypatch.setattr(DataFrame, "collect", watched)
+    centers = {m: np.eye(64)[:10] * (m + 1) for m in range(10)}
+    stats = W._run_scan(v, W._lloyd_fn(centers), 10 * (10 * 66 + 1))
+    assert rows == [10 * 11]  # a row for each model and component, however many partitions
+    assert sum(stats[(0, j)][0] for j in range(10) if (0, j) in stats) == 400
