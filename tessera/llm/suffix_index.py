@@ -50,7 +50,9 @@ LENGTH = 200
 GRAM = 32
 BATCHES = 4
 CROWD = 4096
-SLICE_BYTES = 1 << 20
+#: Bytes whose fingerprints a task holds at once (some twenty arrays of 8 bytes each), and texts it holds as Python objects.
+SLICE_BYTES = 1 << 18
+SLICE_TEXTS = 1000
 _MUL = 0x9E3779B97F4A7C15
 _WEIGHTS = np.random.default_rng(12).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -171,9 +173,18 @@ def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sampled suffixes of documents, one row per anchor and Arrow batch."""
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of a few texts; buffers go back before the worker waits for its next task."""
     for b in batches:
+        for lo in range(0, b.num_rows, SLICE_TEXTS):
+            yield b.slice(lo, SLICE_TEXTS)
+        del b
+    pa.default_memory_pool().release_unused()
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sampled suffixes of documents, one row per anchor and part of an Arrow batch."""
+    for b in _parts(batches):
         r = runs([t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()])
         order = np.argsort(r["key"], kind="stable")
         key, cls, own = r["key"][order], r["cls"][order].view(np.int64), r["own"][order]
@@ -186,7 +197,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in _parts(batches):
         r = runs([t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()])
         at = pa.array(r["text"])
         cols = [b.column("doc_id").take(at), b.column("th").take(at), pa.array(r["lo"]), pa.array(r["hi"]), _signed(r["key"]), _signed(r["cls"])]
@@ -323,7 +334,7 @@ def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text of each listed run of a document."""
-    for b in batches:
+    for b in _parts(batches):
         for i, t in enumerate(b.column("text").cast(pa.binary()).to_pylist()):
             found = b.column("reps")[i].as_py()
             rows = [{"key": r["key"], "n": r["n"], "crowd": r["crowd"], "lo": r["lo"], "run": t[r["lo"] : r["hi"] + LENGTH]} for r in found]
@@ -334,7 +345,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in _parts(batches):
         out = []
         for i, t in enumerate(b.column("text").cast(pa.binary()).to_pylist()):
             t, spans, at, kept = t or b"", b.column("spans")[i].as_py() or [], 0, []

@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import suffix_index
@@ -70,3 +71,21 @@ def test_runs_across_slices(monkeypatch):
 
 def test_empty_table(spark):
     assert suffix_index.report(documents(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("step", ["_entries", "_occurrences", "_finish"])
+def test_a_task_holds_few_texts_at_a_time(step):
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(97, 123, 2000, dtype=np.uint8).tobytes().decode() for _ in range(8000)]
+    n = len(texts)
+    spans = pa.array([[{"lo": 0, "hi": 250}]] * n)
+    b = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array(texts), spans], ["doc_id", "th", "text", "spans"])
+    del texts, spans
+    suffix_index.Prints(np.zeros(1, np.uint8))  # its tables stay
+    tracemalloc.start()
+    rows = sum(out.num_rows for out in getattr(suffix_index, step)(iter([b])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows >= n and peak < 28e6
