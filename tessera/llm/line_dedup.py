@@ -10,8 +10,9 @@ of the line, characters of the segment). t edits leave one segment whole, so a
 line of length l finds its partners of length l - t .. l by looking up, for each of
 these lengths and each segment, those of its substrings that start where the
 segment could have moved to when its side edits are counted (multi-match-aware
-selection). A lookup also compares counts of letters (modulo 4, in groups), which t
-edits change by 2t steps at most. Pairs that meet are verified by a banded bit-parallel
+selection). Segments are cut from a copy of 4 bytes a character, where a place needs no
+search. A lookup also compares counts of letters (modulo 4, in groups), which t
+edits change by 2t steps at most; they are taken once per line. Pairs that meet are verified by a banded bit-parallel
 edit distance: the rows of a band around the diagonal are bits of a long, and a
 fold over the characters advances all of them at once.
 
@@ -37,7 +38,7 @@ from tessera.session import cut_lineage
 MAX_EDITS = 2
 MIN_CHARS = 24
 #: Groups of letters whose counts travel with a filed segment: 2 bits each under a 40-bit key.
-LETTERS = ("ek", "tj", "ax", "og", "iz", "nb", "sc", "rf", "hm", "lu", "dpq", "vwy")
+LETTERS = ("e", "a", "i", "o", "t", "n", "s", "r", "lb", "dm", "uc", "hp")
 KEY_BITS = 40
 
 
@@ -55,7 +56,7 @@ def _segment(i: int, n: Column, edits: int) -> tuple[Column, Column]:
 
 
 def _filed(i: int, n: Column, start: Column, size: Column) -> Column:
-    return F.xxhash64(F.lit(i), n, F.substring(F.col("line"), start, size))
+    return F.xxhash64(F.lit(i), n, F.substring(F.col("chars"), 4 * start - 3, 4 * size))
 
 
 def _letters() -> Column:
@@ -78,9 +79,8 @@ def _letters_apart(a: Column, b: Column) -> Column:
 
 
 def candidates(lines: DataFrame, edits: int) -> DataFrame:
-    """(a, b) of lines (id, line) that share a filed segment; each pair once, a < b."""
-    n = F.length("line")
-    base = lines.select("id", "line", n.cast("int").alias("n"), _letters().alias("letters"))
+    """(a, b) of lines (id, line, letters) that share a filed segment; each pair once, a < b."""
+    base = lines.select("id", F.length("line").cast("int").alias("n"), "letters", F.encode("line", "UTF-32").alias("chars"))
     n = F.col("n")
     segments = [_filed(i, n, *_segment(i, n, edits)) for i in range(1, edits + 2)]
     probes = []
@@ -163,7 +163,8 @@ def links(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, s
     """(a, b), a < b: ids of distinct lines within ``edits`` of each other."""
     long = _lines(docs, salt).where(F.length("line") >= min_chars)
     # one exchange of the distinct lines serves the files, the lookups and both sides of the check
-    lines = long.groupBy("id").agg(F.first("line").alias("line"))
+    # (one struct: a consumer that left out a column of its own would get an exchange of its own)
+    lines = long.groupBy("id").agg(F.first(F.struct("line", _letters().alias("letters"))).alias("l")).select("id", "l.line", "l.letters")
     met = candidates(lines, edits)
     pairs = met.join(lines.select(F.col("id").alias("a"), F.col("line").alias("s")), "a").join(lines.select(F.col("id").alias("b"), F.col("line").alias("t")), "b")
     return pairs.where(edit_distance_within(F.col("s"), F.col("t"), edits) <= edits).select("a", "b")

@@ -97,3 +97,21 @@ def test_equals_brute_force(spark):
 
 def test_empty_table(spark):
     assert line_dedup.classes(documents(spark, [])).count() == 0
+
+
+def test_segments_and_letters_lose_no_link_and_are_cut_without_a_search(spark):
+    """Wide characters before, in and behind a segment; segments are cut from a copy in bytes."""
+    rng = np.random.default_rng(6)
+    lines = []
+    for n in (24, 25, 60, 61, 300, 301):
+        x = "".join(rng.choice(list("etanirosüé漢😀 "), n))
+        lines += [x, edited(rng, x, 1), edited(rng, x, 2), edited(rng, x, 2)]
+    lines = list(dict.fromkeys(lines))
+    same = "".join(rng.choice(list("etanir😀"), 100))
+    apart = [same + "eeaaii" + "x" * 194, same + "y" * 200]
+    df = spark.createDataFrame(list(enumerate(lines + apart)), "id long, line string").withColumn("letters", line_dedup._letters())
+    met = {(r.a, r.b) for r in line_dedup.candidates(df, 2).collect()}
+    near = {(i, j) for j, b in enumerate(lines) for i, a in enumerate(lines[:j]) if abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2}
+    assert near <= met and (len(lines), len(lines) + 1) not in met
+    # a substring of a string walks through it and counts its characters each time
+    assert "line" not in str(line_dedup._filed(1, F.lit(30), F.lit(11), F.lit(10)))
