@@ -182,6 +182,61 @@ class Merger:
 
     def __init__(self, v: Vocabulary):
         self.pair, self.inner, self.last = v.pairs.get, v.inner, v.last
+        self.letters = np.array([v.inner, v.last], np.int64)
+        keys = np.fromiter(v.pairs, np.int64, len(v.pairs))
+        order = keys.argsort()
+        self.keys, self.values = keys[order], np.fromiter(v.pairs.values(), np.int64, len(keys))[order]
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank and new id of pairs of ids in one number, ``NONE`` for those that are not merged."""
+        key = a << 32 | b
+        if not len(self.keys):
+            return np.full(key.shape, NONE)
+        at = np.minimum(self.keys.searchsorted(key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.values[at], NONE)
+
+    def many(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of each word; words of one length are merged together, a step of all of them at once."""
+        out = [b""] * len(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        for n in np.unique(size).tolist():
+            at = np.flatnonzero(size == n)
+            if n > LEXICON_WORD_BYTES:
+                for k in at.tolist():
+                    out[k] = np.array(self.ids(words[k]), "<i4").tobytes()
+                continue
+            raw = np.frombuffer(b"".join([words[k] for k in at.tolist()]), np.uint8).reshape(-1, n)
+            ids = self.letters[0][raw]
+            ids[:, -1] = self.letters[1][raw[:, -1]]
+            ranks = self.ranks(ids[:, :-1], ids[:, 1:])
+            while len(at):
+                n = ids.shape[1]
+                row = np.arange(len(at))
+                best = ranks.argmin(axis=1) if n > 1 else np.zeros(len(at), np.int64)  # the leftmost of equal ranks
+                low = ranks[row, best] if n > 1 else np.full(len(at), NONE)
+                over = low == NONE
+                if over.any():
+                    packed = ids[over].astype("<i4").tobytes()
+                    for i, k in enumerate(at[over].tolist()):
+                        out[k] = packed[4 * n * i : 4 * n * (i + 1)]
+                    go = ~over
+                    at, ids, ranks, best, low = at[go], ids[go], ranks[go], best[go], low[go]
+                    row = row[: len(at)]
+                if not len(at):
+                    break
+                # every word loses one id and one pair, so rows stay of one length
+                new, kept = low & PLACE, np.ones(ids.shape, bool)
+                kept[row, best + 1] = False
+                ids = ids[kept].reshape(len(at), n - 1)
+                ids[row, best] = new
+                kept = np.ones(ranks.shape, bool)
+                kept[row, best] = False
+                ranks = ranks[kept].reshape(len(at), n - 2)
+                i = np.flatnonzero(best > 0)
+                ranks[i, best[i] - 1] = self.ranks(ids[i, best[i] - 1], new[i])
+                i = np.flatnonzero(best < n - 2)
+                ranks[i, best[i]] = self.ranks(new[i], ids[i, best[i] + 1])
+        return out
 
     def ids(self, word: bytes) -> list[int]:
         """Looking through all pairs for the least rank is quick in a short word; a long one keeps them in a heap."""
@@ -392,7 +447,7 @@ def lexicon(docs: DataFrame, v: Vocabulary, n_words: int) -> bytes:
         merge = Merger(shared.value)
         for b in batches:
             words = b.column("word").cast(pa.binary())
-            ids = [np.array(merge.ids(w), np.int32).tobytes() for w in words.to_pylist()]
+            ids = merge.many(words.to_pylist())
             yield pa.RecordBatch.from_arrays([words, pa.array(ids, pa.binary())], ["word", "ids"])
 
     spread = top.repartition(docs.sparkSession.sparkContext.defaultParallelism, "word")
@@ -421,18 +476,19 @@ class Memo:
         raw = [w.encode() for w in words]
         if len(self.merged) > MERGED:
             self.merged.clear()
-        known = {w: self.exact(w, r) if i is None else i for w, r, i in zip(words, raw, self.lex.find(raw))}
+        known = dict(zip(words, self.lex.find(raw)))
+        known.update(self.exact([(w, r) for w, r in zip(words, raw) if known[w] is None]))
         known.update((t, struct.pack("<i", i)) for t, i in self.added.items())
         name = self.names
         for c, w in zip(new, cut):
             self.ids[c] = ids = known[w[0]] if len(w) == 1 else b"".join(map(known.__getitem__, w))
             self.text[c] = b"".join(map(name.__getitem__, memoryview(ids).cast("i")))
 
-    def exact(self, word: str, raw: bytes) -> bytes:
-        """Packed ids of a word outside the lexicon."""
-        if (got := self.merged.get(word)) is None:
-            got = self.merged[word] = np.array(self.merge.ids(raw), "<i4").tobytes()
-        return got
+    def exact(self, words: list[tuple[str, bytes]]) -> dict[str, bytes]:
+        """Packed ids of words outside the lexicon."""
+        new = [x for x in words if x[0] not in self.merged]
+        self.merged.update(zip([w for w, _ in new], self.merge.many([r for _, r in new])))
+        return {w: self.merged[w] for w, _ in words}
 
 
 _MEMOS: dict[str, Memo] = {}

@@ -102,3 +102,13 @@ def test_digests_and_empty(spark):
     assert (out[1].n_tokens, out[1].ids_sha256, out[1].decoded_sha256) == (0, nothing, nothing)
     assert out[2].decoded_sha256 == hashlib.sha256(b"hello</w>").hexdigest()
     assert word_bpe.encode_digests(documents(spark, [])).count() == 0
+
+
+def test_words_merged_together_equal_words_merged_alone(vocabulary, monkeypatch):
+    rng = np.random.default_rng(9)
+    merge = word_bpe.Merger(vocabulary)
+    words = ["".join(rng.choice(list("etaoinshrdluéß漢'."), int(rng.integers(1, 30)))).encode() for _ in range(3000)]
+    words += [b"a", "é".encode(), b"e" * 64, b"e" * 65, b"the" * 40, b"interestingly", b"xq" * 32, *words[:5]]
+    want = [np.array(merge.ids(w), "<i4").tobytes() for w in words]
+    monkeypatch.setattr(merge, "scanned", None)  # short words are not merged one by one
+    assert merge.many(words) == want and merge.many([]) == []
