@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding.
 
-The merges run in Spark: for each distinct word a higher-order ``aggregate``
+The frequent words are merged in Spark expressions: for each a higher-order ``aggregate``
 folds the merge of least rank (leftmost of equals) over the word's array of bytes
 until none is left. The ranks are a literal map from pairs of pieces to the rank,
 which is also the id, of the joined piece; it is laid out as a perfect hash in two
@@ -11,13 +11,13 @@ pieces of the ids.
 
 Texts are cut into words by the tokenizer's pattern in Arrow batches, and a row
 holds a block of documents as ids, with placeholders for words that still have to
-be folded, and the distinct ones of these, so that words are folded in place:
-nothing is shuffled. Words that are frequent in a bounded sample of documents
+be merged, and the distinct ones of these, so that words are merged in place, those of
+one length together in numpy (``pair_merge``): nothing is shuffled. Words that are frequent in a bounded sample of documents
 (``SAMPLE_DOCS``, ``CACHED_WORDS``) are folded once beforehand and handed to all
-tasks; this only saves work, all other words are folded where they occur and
+tasks; this only saves work, all other words are merged where they occur and
 results do not depend on the sample.
 
-The fold of a word takes time in the square of its length; words of more than
+Either way a word takes time in the square of its length; words of more than
 ``FOLD_BYTES`` bytes (runs of hundreds of letters) are merged in the task by a
 heap with the same ranks and the same result.
 
@@ -41,6 +41,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.pair_merge import PairRanks, merge_words
+
 FOLD_BYTES = 256
 SAMPLE_DOCS = 30_000
 CACHED_WORDS = 400_000
@@ -103,6 +105,8 @@ class RankMap:
         if set(ranks.values()) != set(range(len(ranks))) or len(ranks) >= 1 << BITS:
             raise ValueError("ranks must be 0..n-1")
         pairs = {(ranks[t[:i]] << BITS) | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        #: the same for ``merge_words``; a rank is the id of what the pair becomes
+        self.pairs = {(k >> BITS) << 32 | k & ((1 << BITS) - 1): r << 32 | r for k, r in pairs.items()}
         keys = np.array(list(pairs), np.int64)
         # Spark's own hash, so that driver and expression agree
         got = spark.createDataFrame(pa.table({"k": keys})).select("k", F.shiftrightunsigned(F.xxhash64("k"), 1).alias("h")).toArrow()
@@ -274,16 +278,6 @@ def fill(packed: bytes, folded: list[bytes]) -> list[int]:
     return np.frombuffer(b"".join(parts), np.int32).tolist()
 
 
-def _packed_lists(lists: pa.ListArray) -> list[bytes]:
-    """Each list's ids as bytes, without Python numbers."""
-    if not len(lists):
-        return []
-    ends = lists.offsets.to_numpy().astype(np.int64)
-    data = lists.values.slice(ends[0], ends[-1] - ends[0]).to_numpy().astype(np.int32).tobytes()
-    cuts = (4 * (ends - ends[0])).tolist()
-    return [data[a:b] for a, b in zip(cuts, cuts[1:])]
-
-
 def frequent_words(docs: DataFrame, ranks: RankMap, pattern: str, sample_docs: int, n_words: int) -> bytes:
     """The most frequent words of a sample of documents, encoded; at most ``n_words`` entries of an Arrow stream."""
 
@@ -342,6 +336,8 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = spark.sparkContext.broadcast(frequent_words(docs, ranks, pattern, sample_docs, cached_words))
     vocabulary = spark.sparkContext.broadcast(sorted(tokens, key=tokens.get))
+    single = np.array([tokens[bytes([b])] for b in range(256)], np.int64)
+    merges = spark.sparkContext.broadcast((PairRanks(ranks.pairs), single))
 
     def block(batches: Iterator[pa.RecordBatch]):
         chunks = Chunks(dictionary(known.value), pattern)
@@ -349,9 +345,7 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
 
         def block_row():
             words = [w.encode() for w in chunks.end_block()]
-            # long words are marked by an empty array and merged behind the fold
-            raw = [list(w) if len(w) <= FOLD_BYTES else [] for w in words]
-            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((ids, out, words, raw), kinds)], ["doc_ids", "packed", "words", "raw"])
+            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((ids, out, words), kinds)], ["doc_ids", "packed", "words"])
 
         for b in batches:
             for lo in range(0, b.num_rows, 200):  # few texts at a time as Python strings
@@ -369,13 +363,13 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
         pa.default_memory_pool().release_unused()
 
     def finish(batches: Iterator[pa.RecordBatch]):
-        pieces = vocabulary.value
+        pieces, (pairs, single) = vocabulary.value, merges.value
         names = [str(i) for i in range(len(pieces))]
         by_bytes: dict[bytes, int] = {}
         for b in batches:
             for row in range(b.num_rows):
                 doc_ids, packed, words = (b.column(c)[row].as_py() for c in ("doc_ids", "packed", "words"))
-                folded = _packed_lists(b.column("ids")[row].values)
+                folded = merge_words([w if len(w) <= FOLD_BYTES else b"" for w in words], pairs, single, single)
                 for i, w in enumerate(words):
                     if len(w) > FOLD_BYTES:
                         by_bytes = by_bytes or {t: i for i, t in enumerate(pieces)}
@@ -390,9 +384,8 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids", "decoded"])
         pa.default_memory_pool().release_unused()
 
-    kinds = pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.list_(pa.int32()))
-    blocks = docs.mapInArrow(block, "doc_ids array<bigint>, packed array<binary>, words array<binary>, raw array<array<int>>")
-    blocks = ranks.encode_all(blocks, "raw", "ids")
+    kinds = pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary())
+    blocks = docs.mapInArrow(block, "doc_ids array<bigint>, packed array<binary>, words array<binary>")
     return blocks.mapInArrow(finish, "doc_id bigint, n_tokens bigint, ids string, decoded binary")
 
 

@@ -48,6 +48,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.pair_merge import NONE, PLACE, PairRanks, merge_words
 from tessera.session import ensure_checkpoint_dir
 
 #: Words in the transducer: a bound on what the driver holds and on the mapped file.
@@ -172,9 +173,7 @@ class Cutter:
         return (self.full if self.above(text) else self.wide)(text)
 
 
-PLACE = (1 << 32) - 1
 RANK = ~PLACE
-NONE = 1 << 62
 
 
 class Merger:
@@ -182,60 +181,14 @@ class Merger:
 
     def __init__(self, v: Vocabulary):
         self.pair, self.inner, self.last = v.pairs.get, v.inner, v.last
-        self.letters = np.array([v.inner, v.last], np.int64)
-        keys = np.fromiter(v.pairs, np.int64, len(v.pairs))
-        order = keys.argsort()
-        self.keys, self.values = keys[order], np.fromiter(v.pairs.values(), np.int64, len(keys))[order]
-
-    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Rank and new id of pairs of ids in one number, ``NONE`` for those that are not merged."""
-        key = a << 32 | b
-        if not len(self.keys):
-            return np.full(key.shape, NONE)
-        at = np.minimum(self.keys.searchsorted(key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.values[at], NONE)
+        self.table, self.letters = PairRanks(v.pairs), np.array([v.inner, v.last], np.int64)
 
     def many(self, words: list[bytes]) -> list[bytes]:
-        """Packed ids of each word; words of one length are merged together, a step of all of them at once."""
-        out = [b""] * len(words)
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        for n in np.unique(size).tolist():
-            at = np.flatnonzero(size == n)
-            if n > LEXICON_WORD_BYTES:
-                for k in at.tolist():
-                    out[k] = np.array(self.ids(words[k]), "<i4").tobytes()
-                continue
-            raw = np.frombuffer(b"".join([words[k] for k in at.tolist()]), np.uint8).reshape(-1, n)
-            ids = self.letters[0][raw]
-            ids[:, -1] = self.letters[1][raw[:, -1]]
-            ranks = self.ranks(ids[:, :-1], ids[:, 1:])
-            while len(at):
-                n = ids.shape[1]
-                row = np.arange(len(at))
-                best = ranks.argmin(axis=1) if n > 1 else np.zeros(len(at), np.int64)  # the leftmost of equal ranks
-                low = ranks[row, best] if n > 1 else np.full(len(at), NONE)
-                over = low == NONE
-                if over.any():
-                    packed = ids[over].astype("<i4").tobytes()
-                    for i, k in enumerate(at[over].tolist()):
-                        out[k] = packed[4 * n * i : 4 * n * (i + 1)]
-                    go = ~over
-                    at, ids, ranks, best, low = at[go], ids[go], ranks[go], best[go], low[go]
-                    row = row[: len(at)]
-                if not len(at):
-                    break
-                # every word loses one id and one pair, so rows stay of one length
-                new, kept = low & PLACE, np.ones(ids.shape, bool)
-                kept[row, best + 1] = False
-                ids = ids[kept].reshape(len(at), n - 1)
-                ids[row, best] = new
-                kept = np.ones(ranks.shape, bool)
-                kept[row, best] = False
-                ranks = ranks[kept].reshape(len(at), n - 2)
-                i = np.flatnonzero(best > 0)
-                ranks[i, best[i] - 1] = self.ranks(ids[i, best[i] - 1], new[i])
-                i = np.flatnonzero(best < n - 2)
-                ranks[i, best[i]] = self.ranks(new[i], ids[i, best[i] + 1])
+        """Packed ids of each word; short words are merged together."""
+        out = merge_words([w if len(w) <= LEXICON_WORD_BYTES else b"" for w in words], self.table, *self.letters)
+        for k, w in enumerate(words):
+            if len(w) > LEXICON_WORD_BYTES:
+                out[k] = np.array(self.ids(w), "<i4").tobytes()
         return out
 
     def ids(self, word: bytes) -> list[int]:

@@ -61,3 +61,16 @@ def test_workers_keep_no_words_between_tasks(spark):
             yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, own))] * b.num_rows, pa.int64())], ["n"])
 
     assert spark.range(64).repartition(16).mapInArrow(held, "n bigint").groupBy().max("n").first()[0] == 0
+
+
+def test_words_of_a_block_are_merged_together(spark, library):
+    import numpy as np
+
+    from tessera.llm.pair_merge import PairRanks, merge_words
+
+    r = random.Random(5)
+    ranks = bpe.load_ranks()
+    words = ["".join(r.choice("etaoinsrhldéß漢 '0") for _ in range(r.randrange(1, 40))).encode() for _ in range(2000)] + [b"a" * 256, b"x", b"", b" the"]
+    single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+    got = merge_words(words, PairRanks(bpe.RankMap(spark, ranks).pairs), single, single)
+    assert [np.frombuffer(g, "<i4").tolist() for g in got] == [library._encode_single_piece(w) if w else [] for w in words]
