@@ -38,6 +38,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +53,8 @@ REJECT_AT = 0.8
 CHAR_SD = 4.0
 MEMO = 300_000
 SLICE_CHARS = 2_000_000
+#: Words that the models score together.
+WORDS_AT_ONCE = 8_192
 PAD = "\x02"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -171,6 +174,9 @@ class Models:
         """(words x languages) log probabilities, and predicted characters of each word."""
         if not words:
             return np.zeros((0, len(self.langs))), np.zeros(0)
+        if len(words) > WORDS_AT_ONCE:  # some ten arrays of 8 bytes a character
+            parts = [self.word_scores(words[lo : lo + WORDS_AT_ONCE]) for lo in range(0, len(words), WORDS_AT_ONCE)]
+            return np.concatenate([s for s, _ in parts]), np.concatenate([n for _, n in parts])
         cp, predicted = _codes(words)
         hs = _hashes(cp)
         at = np.flatnonzero(predicted)
@@ -236,16 +242,17 @@ class Scorer:
             out[full] = np.add.reduceat(self.table[idx], starts, axis=0)
         return out
 
-    def slices(self, texts: list) -> np.ndarray:
-        """``texts`` in slices of bounded size."""
+    def slices(self, texts: list | pa.Array) -> np.ndarray:
+        """``texts`` in slices of bounded size; of an Arrow array only one slice at a time becomes Python strings."""
+        if not isinstance(texts, (pa.Array, pa.ChunkedArray)):
+            texts = pa.array(texts, pa.string())
         parts, lo, chars = [], 0, 0
-        texts = [t or "" for t in texts]
-        for i, t in enumerate(texts):
-            if i > lo and chars + len(t) > SLICE_CHARS:
-                parts.append(self.texts(texts[lo:i]))
+        for i, n in enumerate(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
+            if i > lo and chars + n > SLICE_CHARS:
+                parts.append(self.texts([t or "" for t in texts[lo:i].to_pylist()]))
                 lo, chars = i, 0
-            chars += len(t)
-        parts.append(self.texts(texts[lo:]))
+            chars += n
+        parts.append(self.texts([t or "" for t in texts[lo:].to_pylist()]))
         return np.concatenate(parts)
 
 
@@ -287,7 +294,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Models | None:
         at = {x: i for i, x in enumerate(shared.value.langs)}
         for b in batches:
             langs = b.column("lang").to_pylist()
-            s = scorer.slices(b.column("text").to_pylist())
+            s = scorer.slices(b.column("text"))
             ok = [i for i, lang in enumerate(langs) if lang in at and s[i, -1] > 0]
             own = [-s[i, at[langs[i]]] / s[i, -1] for i in ok]
             # of one language alone: as if drawn evenly from its characters
@@ -326,12 +333,15 @@ def predictor(spark, models: Models | None):
     """A column function: text -> struct<lang_pred, score, entropy, rejected>."""
     shared = spark.sparkContext.broadcast(models)
 
-    @F.pandas_udf("lang_pred string, score double, entropy double, rejected boolean")
-    def predict(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    # Arrow arrays, not pandas: a batch of whole texts is not copied into Python strings at once
+    @F.arrow_udf("lang_pred string, score double, entropy double, rejected boolean")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         scorer = Scorer(m) if m else None
-        for s in series:
-            yield scored(m, scorer.slices(s.tolist()) if m else np.zeros((len(s), 1)))
+        for texts in batches:
+            told = scored(m, scorer.slices(texts) if m else np.zeros((len(texts), 1)))
+            cols = [pa.array(told["lang_pred"], pa.string())] + [pa.array(told[c].to_numpy()) for c in ("score", "entropy", "rejected")]
+            yield pa.StructArray.from_arrays(cols, ["lang_pred", "score", "entropy", "rejected"])
 
     return predict.asNondeterministic()  # so that it runs once per row
 

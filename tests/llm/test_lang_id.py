@@ -85,3 +85,29 @@ def test_words_are_found_without_looking_up_the_pattern(monkeypatch):
 
     monkeypatch.setattr(regex, "findall", looked_up)
     assert lang_id.words_of("Über-Maß, İzmir 12 it's щука.") == ["über", "maß", "i", "zmir", "it", "s", "щука"]
+
+
+def test_scoring_memory_does_not_grow_with_the_words_of_a_slice(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    words = list(dict.fromkeys("".join(rng.choice(list("abcdefgh"), 9)) for _ in range(40_000)))
+    grams = {}
+    for w in words[:200]:
+        s = lang_id.PAD * 4 + w + " "
+        for i in range(len(w) + 1):
+            grams[s[i : i + 5]] = grams.get(s[i : i + 5], 0) + 1
+    m = lang_id.Models.fit(pd.DataFrame({"lang": "x", "gram": list(grams), "n": list(grams.values())}))
+    tracemalloc.start()
+    scores, lengths = m.word_scores(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6  # 53 MB when all words are scored together
+    monkeypatch.setattr(lang_id, "WORDS_AT_ONCE", len(words))
+    same, same_lengths = m.word_scores(words)
+    assert np.array_equal(scores, same) and np.array_equal(lengths, same_lengths)
+    texts = [" ".join(words[i : i + 7]) if i % 3 else None for i in range(0, 700, 7)]
+    monkeypatch.setattr(lang_id, "SLICE_CHARS", 200)
+    assert np.array_equal(lang_id.Scorer(m).slices(pa.array(texts)), lang_id.Scorer(m).slices(texts))
