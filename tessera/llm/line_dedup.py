@@ -10,7 +10,8 @@ of the line, characters of the segment). t edits leave one segment whole, so a
 line of length l finds its partners of length l - t .. l by looking up, for each of
 these lengths and each segment, those of its substrings that start where the
 segment could have moved to when its side edits are counted (multi-match-aware
-selection). Segments are cut from a copy of 4 bytes a character, where a place needs no
+selection). A line becomes a row for each place first and keys are made after that, by one
+short expression that Spark compiles. Segments are cut from a copy of 4 bytes a character, where a place needs no
 search. A lookup also compares counts of letters (modulo 4, in groups), which t
 edits change by 2t steps at most; they are taken once per line. Pairs that meet are verified by a banded bit-parallel
 edit distance: the rows of a band around the diagonal are bits of a long, and a
@@ -48,24 +49,36 @@ def _lines(docs: DataFrame, salt: int) -> DataFrame:
     return d.where(F.trim("line") != "").withColumn("id", F.xxhash64("line", F.lit(salt)))
 
 
-def _segment(i: int, n: Column, edits: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment i (from 1) of a line of n characters."""
-    base, more = F.floor(n / (edits + 1)).cast("int"), (n % (edits + 1)).cast("int")
-    short = F.lit(edits + 1) - more  # the first ones are the shorter ones
-    return F.lit(1) + base * (i - 1) + F.greatest(F.lit(0), F.lit(i - 1) - short), base + F.when(F.lit(i) > short, 1).otherwise(0)
+def _filed(i: Column | int, n: Column, start: Column, size: Column) -> Column:
+    return F.xxhash64(F.lit(i), n, F.substring(F.col("chars"), 4 * start - 3, 4 * size))
 
 
-def _filed(i: int, n: Column, start: Column, size: Column) -> Column:
-    return F.xxhash64(F.lit(i), n, F.substring(F.col("chars"), 4 * start - 3, 4 * size))
+def _segments(edits: int) -> list[tuple[int, int, int]]:
+    """What is filed: (number of the segment from 1, by how much the line looked for is shorter, shift), nothing moved."""
+    return [(i, 0, 0) for i in range(1, edits + 2)]
 
 
-def _letters() -> Column:
-    """Counts of groups of letters modulo 4, two bits each; each edit changes two counts at most."""
+def _probes(edits: int) -> list[tuple[int, int, int]]:
+    """What is looked up: the segments of lines up to ``edits`` shorter, wherever side edits can have moved them."""
+    out = []
+    for less in range(edits + 1):
+        for i in range(1, edits + 2):
+            low, high = max(-(i - 1), less - (edits + 1 - i)), min(i - 1, less + (edits + 1 - i))
+            out += [(i, less, shift) for shift in range(low, high + 1)]
+    return out
 
-    def count(group):
-        return reduce(Column.__add__, [F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(c), F.lit(""))) for c in group])
 
-    return reduce(Column.bitwiseOR, [F.shiftleft((count(g) % 4).cast("bigint"), 2 * k) for k, g in enumerate(LETTERS)])
+def _letters() -> Column:
+    """Counts of groups of letters modulo 4, two bits each; each edit changes two counts at most.
+
+    Each group is taken out of what the groups before it left, so later ones search shorter texts.
+    """
+    rest, counts = F.col("line"), []
+    for group in LETTERS:
+        before = F.octet_length(rest)
+        rest = reduce(lambda s, c: F.replace(s, F.lit(c), F.lit("")), group, rest)
+        counts.append((before - F.octet_length(rest)) % 4)
+    return reduce(Column.bitwiseOR, [F.shiftleft(n.cast("bigint"), 2 * k) for k, n in enumerate(counts)])
 
 
 def _letters_apart(a: Column, b: Column) -> Column:
@@ -81,23 +94,23 @@ def _letters_apart(a: Column, b: Column) -> Column:
 def candidates(lines: DataFrame, edits: int) -> DataFrame:
     """(a, b) of lines (id, line, letters) that share a filed segment; each pair once, a < b."""
     base = lines.select("id", F.length("line").cast("int").alias("n"), "letters", F.encode("line", "UTF-32").alias("chars"))
-    n = F.col("n")
-    segments = [_filed(i, n, *_segment(i, n, edits)) for i in range(1, edits + 2)]
-    probes = []
-    for less in range(edits + 1):
-        for i in range(1, edits + 2):
-            start, size = _segment(i, n - less, edits)
-            for shift in range(max(-(i - 1), less - (edits + 1 - i)), min(i - 1, less + (edits + 1 - i)) + 1):
-                inside = (start + shift >= 1) & (start + shift + size - 1 <= n)
-                probes.append(F.when(inside, _filed(i, n - less, start + shift, size)))
     # key and letters in one long: a shuffled row is two longs
     low = 64 - KEY_BITS
 
-    def filed(name, keys, row):
-        words = F.transform(keys, lambda k: F.shiftleft(k, low).bitwiseOR(F.col("letters")))
-        return base.select(F.col("id").alias(name), F.explode(words).alias(row))
-
-    left, right = filed("a", F.array(*segments), "x"), filed("b", F.array_compact(F.array(*probes)), "y")
+    def filed(name, places, row):
+        # a row for each place first, then one short key expression: all keys in one expression are more than the compiler takes
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(less).alias("less"), F.lit(shift).alias("shift")) for i, less, shift in places]))
+        at = base.select("id", "n", "letters", "chars", each.alias("p")).select("id", "n", "letters", "chars", "p.*")
+        at = at.withColumn("m", F.col("n") - F.col("less"))
+        at = at.withColumn("more", F.col("m") % (edits + 1)).withColumn("short", F.lit(edits + 1) - F.col("more"))  # the first segments are the shorter ones
+        at = at.withColumn("base", ((F.col("m") - F.col("more")) / (edits + 1)).cast("int"))
+        start = F.lit(1) + F.col("base") * (F.col("i") - 1) + F.greatest(F.lit(0), F.col("i") - 1 - F.col("short")) + F.col("shift")
+        at = at.withColumn("start", start).withColumn("size", F.col("base") + (F.col("i") > F.col("short")).cast("int"))
+        at = at.where((F.col("start") >= 1) & (F.col("start") + F.col("size") - 1 <= F.col("n")))
+        key = _filed(F.col("i"), F.col("m"), F.col("start"), F.col("size"))
+        return at.select(F.col("id").alias(name), F.shiftleft(key, low).bitwiseOR(F.col("letters")).alias(row))
+
+    left, right = filed("a", _segments(edits), "x"), filed("b", _probes(edits), "y")
     same = F.shiftrightunsigned("x", low) == F.shiftrightunsigned("y", low)
     met = left.join(right, same & (F.col("a") != F.col("b")) & (_letters_apart(F.col("x"), F.col("y")) <= 2 * edits))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -161,12 +174,15 @@ def edit_distance_within(s: Column, t: Column, edits: int) -> Column:
 
 def links(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, salt: int = 0) -> DataFrame:
     """(a, b), a < b: ids of distinct lines within ``edits`` of each other."""
-    long = _lines(docs, salt).where(F.length("line") >= min_chars)
-    # one exchange of the distinct lines serves the files, the lookups and both sides of the check
+    long = _lines(docs, salt).where(F.length("line") >= min_chars).select("id", "line")
+    # one exchange of the distinct lines serves the files, the lookups and the check
     # (one struct: a consumer that left out a column of its own would get an exchange of its own)
-    lines = long.groupBy("id").agg(F.first(F.struct("line", _letters().alias("letters"))).alias("l")).select("id", "l.line", "l.letters")
+    lines = long.withColumn("letters", _letters()).groupBy("id").agg(F.first(F.struct("line", "letters")).alias("l")).select("id", "l.line", "l.letters")
     met = candidates(lines, edits)
-    pairs = met.join(lines.select(F.col("id").alias("a"), F.col("line").alias("s")), "a").join(lines.select(F.col("id").alias("b"), F.col("line").alias("t")), "b")
+    # only the texts of lines that met go on to the check, once for both sides
+    ids = met.select(F.col("a").alias("id")).union(met.select(F.col("b").alias("id"))).distinct()
+    texts = lines.join(ids, "id", "left_semi").select("id", "line").repartition("id")
+    pairs = met.join(texts.select(F.col("id").alias("a"), F.col("line").alias("s")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("t")), "b")
     return pairs.where(edit_distance_within(F.col("s"), F.col("t"), edits) <= edits).select("a", "b")
 
 
@@ -175,6 +191,7 @@ def classes(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS,
     distinct lines linked), first_doc_id and first_line_no (first place of any line of
     its component), kept (it stands there)."""
     slim = _lines(docs, salt).select("doc_id", "line_no", "id", F.hash("line", F.lit(salt + 1)).alias("h"))
+    slim = cut_lineage(slim)  # read twice; four numbers a line cost less than splitting the texts again
     place = F.struct("doc_id", "line_no")
     per = slim.groupBy("id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n_copies"), (F.min("h") != F.max("h")).alias("clash"))
     per = cut_lineage(per)

@@ -115,3 +115,11 @@ def test_segments_and_letters_lose_no_link_and_are_cut_without_a_search(spark):
     assert near <= met and (len(lines), len(lines) + 1) not in met
     # a substring of a string walks through it and counts its characters each time
     assert "line" not in str(line_dedup._filed(1, F.lit(30), F.lit(11), F.lit(10)))
+
+
+def test_keys_are_compiled_and_only_lines_that_met_are_checked(spark):
+    lines = spark.createDataFrame([(1, "x" * 30)], "id long, line string").withColumn("letters", line_dedup._letters())
+    plan = line_dedup.candidates(lines, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan  # what a lambda is applied to is interpreted
+    docs = spark.createDataFrame([(1, "a line of some thirty letters")], "doc_id long, text string")
+    assert "LeftSemi" in line_dedup.links(docs)._jdf.queryExecution().optimizedPlan().toString()
