@@ -191,7 +191,6 @@ def classes(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS,
     distinct lines linked), first_doc_id and first_line_no (first place of any line of
     its component), kept (it stands there)."""
     slim = _lines(docs, salt).select("doc_id", "line_no", "id", F.hash("line", F.lit(salt + 1)).alias("h"))
-    slim = cut_lineage(slim)  # read twice; four numbers a line cost less than splitting the texts again
     place = F.struct("doc_id", "line_no")
     per = slim.groupBy("id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n_copies"), (F.min("h") != F.max("h")).alias("clash"))
     per = cut_lineage(per)
