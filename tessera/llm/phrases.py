@@ -15,9 +15,9 @@ set by another phrase only lets more phrases be counted. Texts are cut into word
 numbered once, as blocks of bounded bytes in the shared checkpoint folder; passes read those. Which phrases a pass counts
 is a function of the bits, so "counted before" is known exactly in the next pass
 and counts of passes never overlap. Phrases are counted as numbers inside a block
-in numpy. A pass first sums counts by 64-bit hash: phrases of one hash share a sum, so it
-is never too low, and what stays under the threshold, nearly all of the border, needs no
-text. The others are then summed by text (no hash decides equality) with partial aggregation: a word of any frequency is one row per block.
+in numpy. A pass first sums counts by 44 bits of the hash, in sorted buckets of 4 bytes a
+phrase: phrases of one hash share a sum, so it is never too low, and what stays under the
+threshold, nearly all of the border, needs no text. The others are then summed by text (no hash decides equality) with partial aggregation: a word of any frequency is one row per block.
 
 The sample takes documents by a hash of id and text, a share of the corpus that
 grows with it; results do not depend on which documents it takes.
@@ -65,6 +65,10 @@ FILTER_BITS = 1 << 26
 BLOCK_BYTES = 3 << 20
 #: Rows of a batch that a task sends.
 ROWS_OUT = 100_000
+#: Counts by hash are shuffled in 2 to this power buckets; bits of a hash beyond these and 32 more do not count.
+BUCKET_BITS = 12
+#: Counts by hash that a task holds before it sends them.
+KEYS_HELD = 1 << 21
 #: Window buckets of the first of two rankings.
 RANK_BUCKETS = 64
 
@@ -139,17 +143,31 @@ class Block:
         return pa.RecordBatch.from_arrays(cols, BLOCK_NAMES)
 
 
-def phrase_rows(row: dict, now: np.ndarray | None, before: np.ndarray | None, passing: np.ndarray | None, first: bool, max_words: int, texts: bool) -> Iterator[pa.RecordBatch]:
-    """Counts of what ``now`` lets in and ``before`` did not (``first``: no pass was before) in a packed block.
+def levels(row: dict, now: np.ndarray | None, before: np.ndarray | None, max_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per number of words m from 2: (m, hash of the m words at each place, places that ``now`` lets in and ``before`` did not)."""
+    a, h1 = np.frombuffer(row["a"], np.int32), np.frombuffer(row["hashes"], np.uint64)
+    now_word, old_word = _inside(now, h1), _inside(before, h1)
+    now_word[0] = old_word[0] = False  # no phrase goes over the end of a piece
+    h, let, old = h1[a], now_word[a], old_word[a]
+    for m in range(2, max_words + 1):
+        let, old = let[:-1] & let[1:], old[:-1] & old[1:]
+        if not let.any():
+            return
+        h = _joined(h[:-1], h1[a[m - 1 :]])
+        yield m, h, np.flatnonzero(let & ~old)
+        let = let & _inside(now, h)
+        old = old & _inside(before, h)
 
-    Without ``texts`` the hashes of phrases of two words and more; with ``texts`` the
-    phrases themselves, of those only the ones whose hash is in ``passing``.
-    """
-    a, lang_of = np.frombuffer(row["a"], np.int32).astype(np.int64), np.frombuffer(row["lang_of"], np.int32)
+
+def phrase_rows(row: dict, now: np.ndarray | None, before: np.ndarray | None, passing: np.ndarray | None, first: bool, max_words: int) -> Iterator[pa.RecordBatch]:
+    """Counts by text of what ``now`` lets in and ``before`` did not (``first``: no pass was before) in a packed block;
+    of phrases of two words and more only those whose hash is in ``passing``."""
+    a, lang_of = np.frombuffer(row["a"], np.int32), np.frombuffer(row["lang_of"], np.int32)
     words, langs = pa.array(row["words"].split(b" "), pa.binary()).cast(pa.string()), pa.array(row["langs"], pa.string())
-    n = len(words)
 
-    def batch(index: list[np.ndarray], h, known, f):
+    def batch(index: list[np.ndarray], h, f):
+        known = _inside(now, h)
+        h = np.where(known, np.uint64(0), h)  # only hashes of failures are read; zeros shuffle as next to nothing
         for lo in range(0, len(f), ROWS_OUT):
             part = slice(lo, lo + ROWS_OUT)
             parts = [words.take(pa.array(c[part])) for c in index]
@@ -157,41 +175,83 @@ def phrase_rows(row: dict, now: np.ndarray | None, before: np.ndarray | None, pa
             cols = [langs.take(pa.array(lang_of[index[0][part]])), phrase, pa.array(h[part].view(np.int64)), pa.array(known[part]), pa.array(f[part])]
             yield pa.RecordBatch.from_arrays(cols, ["lang", "phrase", "h", "known", "f"])
 
-    h1 = np.frombuffer(row["hashes"], np.uint64)
-    f = np.bincount(a, minlength=n)
-    now_in, old_in = _inside(now, h1), _inside(before, h1)
-    now_in[0] = old_in[0] = False
-    if first and texts:
-        every = np.arange(1, n)
-        yield from batch([every], h1[1:], now_in[1:], f[1:])
+    if first:
+        f = np.bincount(a, minlength=len(words))
+        yield from batch([np.arange(1, len(words))], np.frombuffer(row["hashes"], np.uint64)[1:], f[1:])
         total = np.bincount(lang_of[1:], weights=f[1:], minlength=len(langs)).astype(np.int64)
         k = len(langs)  # words of each language, under the empty phrase
         yield pa.RecordBatch.from_arrays([langs, pa.array([""] * k), pa.array(np.zeros(k, np.int64)), pa.array(np.ones(k, bool)), pa.array(total)], ["lang", "phrase", "h", "known", "f"])
-    at, h, index = a, h1, [np.arange(n)]
-    for m in range(2, max_words + 1):
-        # at[i]: number of the phrase of m - 1 words at place i, 0 if it was not let in
-        p, q = at[:-1], at[1:]
-        places = np.flatnonzero(now_in[p] & now_in[q])
+    for m, h, places in levels(row, now, before, max_words):
+        places = places[_inside(passing, h[places])]
         if not len(places):
-            return
-        codes, where, back, f = np.unique(p[places] * n + a[places + m - 1], return_index=True, return_inverse=True, return_counts=True)
-        head, last, tail = codes // n, codes % n, q[places[where]]
-        index = [np.concatenate([[0], c[head]]) for c in index] + [np.concatenate([[0], last])]
-        old = old_in[head] & old_in[tail]  # what the pass before let in
-        h = np.concatenate([np.zeros(1, np.uint64), _joined(h[head], h1[last])])
-        now_in, hit = _inside(now, h), _inside(before, h)
-        now_in[0] = False
-        new = np.arange(len(codes)) if first else np.flatnonzero(~old)
-        if texts:
-            new = new[_inside(passing, h[new + 1])]
-            yield from batch([c[new + 1] for c in index], h[new + 1], now_in[new + 1], f[new])
-        else:
-            for lo in range(0, len(new), ROWS_OUT):
-                part = new[lo : lo + ROWS_OUT]
-                yield pa.RecordBatch.from_arrays([pa.array(h[part + 1].view(np.int64)), pa.array(f[part])], ["h", "f"])
-        old_in = np.concatenate([[False], old]) & hit
-        at = np.zeros(len(p), np.int64)
-        at[places] = back + 1
+            continue
+        # equal phrases stand side by side in the order of hashes; a row ends where a word changes, so
+        # that phrases of one hash are never taken for one (at worst they get several rows each)
+        places = places[np.argsort(h[places])]
+        at = [a[places + k] for k in range(m)]
+        starts = np.flatnonzero(np.concatenate([[True], reduce(np.logical_or, [c[1:] != c[:-1] for c in at])]))
+        yield from batch([c[starts] for c in at], h[places[starts]], np.diff(np.append(starts, len(places))))
+
+
+# --- counts by hash ------------------------------------------------------------
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sums of their counts."""
+    k, c = np.concatenate(keys), np.concatenate(counts)
+    if not len(k):
+        return k, c
+    order = np.argsort(k)
+    k = k[order]
+    starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    return k[starts], np.add.reduceat(c[order], starts)
+
+
+def hash_buckets(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Sorted keys (of ``BUCKET_BITS`` + 32 bits) as a row per bucket: the low 32 bits and the counts of its keys."""
+    bounds = np.searchsorted(keys, np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint64) << np.uint64(32))
+    some = np.flatnonzero(np.diff(bounds))
+    offsets = pa.py_buffer((np.append(bounds[some], len(keys)) * 4).astype(np.int32))
+
+    def cut(values):
+        return pa.Array.from_buffers(pa.binary(), len(some), [None, offsets, pa.py_buffer(values)])
+
+    cols = [pa.array(some.astype(np.int32)), cut(keys.astype(np.uint32)), cut(counts.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(cols, ["bucket", "k", "n"])
+
+
+def counted_hashes(blocks: DataFrame, shared: Broadcast, max_words: int, min_count: int) -> DataFrame:
+    """h: hashes of the phrases that a pass lets in whose counts sum to ``min_count`` or more; h has ``BUCKET_BITS`` + 32 bits.
+
+    A shuffled row is a bucket of sorted keys of a few blocks, some 4 bytes a phrase, and a bucket is summed in numpy.
+    """
+    mask = np.uint64((1 << (BUCKET_BITS + 32)) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        tables = [None if b is None else np.frombuffer(zlib.decompress(b), np.uint8) for b in shared.value[:2]]
+        keys, counts = [], []
+        for b in batches:
+            for i in range(b.num_rows):
+                row = {c: b.column(c)[i].as_py() for c in ("a", "hashes")}
+                for _, h, places in levels(row, *tables, max_words):
+                    k, n = np.unique(h[places] & mask, return_counts=True)
+                    keys.append(k)
+                    counts.append(n)
+                if sum(map(len, keys)) > KEYS_HELD:
+                    yield hash_buckets(*_summed(keys, counts))
+                    keys, counts = [], []
+        if keys:
+            yield hash_buckets(*_summed(keys, counts))
+
+    def frequent(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            for bucket, ks, ns in zip(*(b.column(c).to_pylist() for c in ("bucket", "ks", "ns"))):
+                k, n = _summed([np.frombuffer(x, np.uint32) for x in ks], [np.frombuffer(x, np.int32).astype(np.int64) for x in ns])
+                h = k[n >= min_count].astype(np.int64) | (bucket << 32)
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64())], ["h"])
+
+    parts = blocks.select("a", "hashes").mapInArrow(run, "bucket int, k binary, n binary")
+    return parts.groupBy("bucket").agg(F.collect_list("k").alias("ks"), F.collect_list("n").alias("ns")).mapInArrow(frequent, "h bigint")
 
 
 def _pieces(raw: bytes) -> Iterator[bytes]:
@@ -236,19 +296,17 @@ def numbered_blocks(docs: DataFrame) -> DataFrame:
     return cut_lineage(docs.select("lang", "raw", "drawn").mapInArrow(run, PACKED))
 
 
-def counted(blocks: DataFrame, shared: Broadcast, first: bool, max_words: int, texts: bool) -> DataFrame:
-    """One pass over ``blocks``: h, f without ``texts``, else lang, phrase, h, known, f. ``shared``: the three packed tables."""
+def counted(blocks: DataFrame, shared: Broadcast, first: bool, max_words: int) -> DataFrame:
+    """One pass over ``blocks`` by text: lang, phrase, h (0 if known), known, f. ``shared``: the three packed tables."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         tables = [None if b is None else np.frombuffer(zlib.decompress(b), np.uint8) for b in shared.value]
         for b in batches:
             for i in range(b.num_rows):
                 row = {c: b.column(c)[i].as_py() for c in BLOCK_NAMES[1:]}
-                yield from phrase_rows(row, *tables, first, max_words, texts)
+                yield from phrase_rows(row, *tables, first, max_words)
 
-    got = blocks.mapInArrow(run, COUNTED if texts else "h bigint, f bigint")
-    if not texts:
-        return got.groupBy("h").agg(F.sum("f").alias("f"))
+    got = blocks.mapInArrow(run, COUNTED)
     return got.groupBy("lang", "phrase").agg(F.max("h").alias("h"), F.max("known").alias("known"), F.sum("f").alias("f"))
 
 
@@ -301,10 +359,10 @@ def closed(blocks: DataFrame, min_count: int, max_words: int, proposed: bytes |
         with one_block_a_batch(spark):
             # most border phrases are rare: counts of hashes, never too low, leave few of them to be counted by text
             shared = _sent(spark, now, before, None)
-            passing = bits_of(counted(blocks, shared, first, max_words, False).where(F.col("f") >= min_count))
+            passing = bits_of(counted_hashes(blocks, shared, max_words, min_count))
             shared.destroy()
             shared = _sent(spark, now, before, passing)
-            got = cut_lineage(counted(blocks, shared, first, max_words, True).where((F.col("f") >= min_count) | (F.col("phrase") == "")))
+            got = cut_lineage(counted(blocks, shared, first, max_words).where((F.col("f") >= min_count) | (F.col("phrase") == "")))
             shared.destroy()
         parts.append(got)
         failed = bits_of(got.where(~F.col("known") & (F.size(_words("phrase")) < max_words)))

@@ -97,3 +97,32 @@ def test_ties_limits_and_empty_table(spark):
     assert [x[2] for x in mined(spark, rows, top=3)] == ["p q", "r s", "t u"]
     assert mined(spark, []) == []
     assert mined(spark, [(1, "a b c", "en")]) == []
+
+
+def test_counts_by_hash_travel_as_four_bytes_a_phrase():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    drawn = rng.integers(0, 1 << (phrases.BUCKET_BITS + 32), 20_000, dtype=np.uint64)
+    keys, counts = phrases._summed([drawn, drawn[:5_000]], [np.ones(20_000, np.int64), np.full(5_000, 2)])
+    assert len(keys) == len(set(drawn.tolist())) and counts.sum() == 30_000
+    b = phrases.hash_buckets(keys, counts)
+    assert b.num_rows <= 1 << phrases.BUCKET_BITS and sum(len(k) for k in b.column("k").to_pylist()) == 4 * len(keys)
+    back = [(x << 32) | int(k) for x, ks in zip(b.column("bucket").to_pylist(), b.column("k").to_pylist()) for k in np.frombuffer(ks, np.uint32)]
+    assert back == keys.tolist()
+    assert np.concatenate([np.frombuffer(n, np.int32) for n in b.column("n").to_pylist()]).tolist() == counts.tolist()
+
+
+def test_phrases_of_one_hash_are_counted_apart(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(phrases, "_joined", lambda h, last: np.zeros(len(h), np.uint64))  # all phrases share a hash
+    block = phrases.Block()
+    block.add("x", b"a b a b c. a b c")
+    row = block.packed(True).to_pylist()[0]
+    every = np.full(phrases.FILTER_BITS // 8, 255, np.uint8)
+    found = {}
+    for batch in phrases.phrase_rows(row, every, None, every, True, 2):
+        for r in batch.to_pylist():
+            found[r["phrase"]] = found.get(r["phrase"], 0) + r["f"]
+    assert found == {"": 8, "a": 3, "b": 3, "c": 2, "a b": 3, "b a": 1, "b c": 2}
